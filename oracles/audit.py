@@ -44,14 +44,14 @@ ORACLES["save_report"] = query(
         [
             f"'{name}' AS table_name, ({rows})::BIGINT AS n_rows"
             for name, rows in {
-                "ts_headline": "5",
+                "ts_headline": "5 + 0 * count(*)",
                 "ts_by_vendor": "count(DISTINCT VendorID)",
                 "ts_range_by_vendor": "count(DISTINCT VendorID)",
-                "negative_headline": "1",
+                "negative_headline": "1 + 0 * count(*)",
                 "negative_by_vendor": "count(DISTINCT VendorID)",
                 "negative_examples": "sum((secs < 0 AND secs <= (SELECT max(secs) FROM (SELECT secs FROM t"
                 " WHERE secs < 0 ORDER BY secs LIMIT 5)))::INT)",
-                "zero_headline": "1",
+                "zero_headline": "1 + 0 * count(*)",
                 "zero_by_vendor": "count(DISTINCT VendorID)",
                 "zero_vs_rest_payment": "count(DISTINCT (secs = 0, payment_type))",
                 "issues_by_vendor": "count(DISTINCT VendorID)",
@@ -464,7 +464,7 @@ _METHODS = {
     "p99.99": "p9999",
 }
 ORACLES["outlier_thresholds"] = query(
-    "SELECT variable, method, cutoff, count(*) FILTER (WHERE v > cutoff) AS n_above FROM vals JOIN limits"
+    "SELECT variable, method, round(cutoff, 9) AS cutoff, count(*) FILTER (WHERE v > cutoff) AS n_above FROM vals JOIN limits"
     " USING (variable) GROUP BY variable, method, cutoff",
     "vals AS (SELECT 'trip_distance' AS variable, trip_distance AS v FROM t WHERE trip_distance >= 0"
     " UNION ALL SELECT 'duration_min', mins FROM t WHERE mins > 0"

@@ -181,7 +181,7 @@ for name, value in {
     "histogram_total": "total_amount::DOUBLE",
 }.items():
     ORACLES[name] = query(
-        "SELECT bin, low + bin * width AS low, low + (bin + 1) * width AS high, n FROM (SELECT"
+        "SELECT bin, round(low + bin * width, 9) AS low, round(low + (bin + 1) * width, 9) AS high, n FROM (SELECT"
         " coalesce(least(floor((v - low) / nullif(width, 0)), 59), 0)::INT AS bin, min(low) AS low, min(width) AS width,"
         " count(*) AS n FROM (SELECT v, low, (cap - low) / 60.0::DOUBLE AS width, cap FROM vals,"
         f" (SELECT min(v) AS low, {med('v', q=0.99)} AS cap FROM vals)) WHERE v <= cap GROUP BY 1)",

@@ -16,10 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplens import schema as S
-from triplens.sources.shared import pin
+from triplens.sources.shared import pin, shared_folder
 
-# Bits per level; the rest of a 64-bit key (22 bits) bounds the topmost, unsplit level.
-LEVELS = (20, 22)
+# Bits per level. What remains of a 64-bit key (22 bits) bounds the topmost, unsplit level.
+BITS, TOP_BITS = 20, 22
+LEVELS = (BITS, 64 - BITS - TOP_BITS)
 _BLOCK, _GUEST = "_block", "_guest"
 
 
@@ -98,6 +99,22 @@ def ordered_neighbours(
     return _link(rows, key, list(cols), list(cols), list(levels))
 
 
+def levels_for(df: DataFrame, key: str = S.ID) -> tuple[int, ...]:
+    """Fewer levels if the range of the keys proves that there can be few blocks.
+
+    Reads one column, and saves one level of shuffles for keys that are not spread thinly.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    blocks = 0 if low is None else (high >> BITS) - (low >> BITS) + 1
+    return LEVELS[:1] if blocks <= 1 << TOP_BITS else LEVELS
+
+
+def _levels_for_pinned(pinned: DataFrame, levels: Sequence[int]) -> Sequence[int]:
+    """No blocks at all for a set that was counted and fits into one."""
+    counted = shared_folder(pinned.sparkSession) is not None
+    return () if counted and pinned.count() <= 1 << BITS else levels
+
+
 def equals_neighbour(
     df: DataFrame, col: str, key: str = S.ID, levels: Sequence[int] = LEVELS
 ) -> DataFrame:
@@ -111,7 +128,7 @@ def refund_rows(
     df: DataFrame,
     cols: Sequence[str] = (S.PICKUP, S.DROPOFF, S.PU),
     key: str = S.ID,
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Ids of rows that pass one neighbour test per column, each among the survivors so far.
 
@@ -119,7 +136,10 @@ def refund_rows(
     between them: they are read twice by the next test and are usually few.
     """
     rows = df.select(key, *cols)
-    for col in cols:
+    given, levels = levels, levels_for(df, key) if levels is None else levels
+    for i, col in enumerate(cols):
+        if i and given is None:
+            levels = _levels_for_pinned(rows, levels)
         rows = pin(equals_neighbour(rows, col, key, levels))
     return rows.select(key)
 
@@ -129,8 +149,10 @@ def dispute_rows(
     code: int = 4,
     col: str = S.PICKUP,
     key: str = S.ID,
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Ids of disputed rows with the same pickup time as the dispute just before or after."""
-    rows = df.where(F.col(S.PAYMENT) == code).select(key, col)
+    rows = pin(df.where(F.col(S.PAYMENT) == code).select(key, col))
+    if levels is None:
+        levels = _levels_for_pinned(rows, levels_for(rows, key))
     return pin(equals_neighbour(rows, col, key, levels).select(key))

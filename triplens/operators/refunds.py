@@ -12,7 +12,7 @@ from triplens.functions import labels as L
 from triplens.functions.expressions import either, in_long_form, share, share_of_all
 from triplens.functions.stats import value_counts, weighted_mean, weighted_median
 from triplens.operators.duplicates import flag_rows
-from triplens.operators.neighbours import LEVELS, dispute_rows, refund_rows
+from triplens.operators.neighbours import dispute_rows, refund_rows
 from triplens.sources.shared import broadcast_if_small, pin
 
 NEGATIVE, REFUND = "any_negative", "is_refund_pair"
@@ -23,13 +23,13 @@ def any_negative(cols: Sequence[str] = S.MONEY) -> Column:
     return either([F.col(c) < 0 for c in cols])
 
 
-def refund_ids(df: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+def refund_ids(df: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
     """Ids of refund pairs and of adjacent disputes, both found on the raw rows."""
     ids = refund_rows(df, levels=levels).union(dispute_rows(df, levels=levels))
     return pin(ids.distinct())
 
 
-def refund_flag(df: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+def refund_flag(df: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
     """Add ``any_negative`` and ``is_refund_pair``."""
     ids = broadcast_if_small(refund_ids(df, levels))
     return flag_rows(df.withColumn(NEGATIVE, any_negative()), ids, REFUND)

@@ -24,7 +24,7 @@ from triplens.operators import zones as Z
 from triplens.plans import cleaning as K
 from triplens.plans import reports
 from triplens.sources import readers, writers
-from triplens.sources.derived import trips, zones
+from triplens.sources.derived import stored, trips, zones
 from triplens.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,24 @@ def _raw(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return _on(lambda df: df, fn)
 
 
+def _rounded(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: with_rounding(with_doubles(fn(trips(spark, folder))))
+
+
 _gaps = partial(_on, D.add_discrepancy)
 _flagged = partial(_on, R.refund_flag)
 _marked = partial(_on, K.with_failed_step)
-_clean = partial(_on, K.clean_trips)
+
+
+def cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned table that dashboards read, stored by month on first use."""
+    return stored(
+        spark, "clean", folder, lambda: K.clean_trips(trips(spark, folder)), writers.write_clean
+    )
+
+
+def _clean(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: with_doubles(fn(cleaned(spark, folder)))
 
 
 # --- sources and sinks: written to the shared folder and read back
@@ -100,7 +114,7 @@ def _round_trip_shapes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _round_trip_zone_agg(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "zone-agg")
-    writers.write_zone_agg(Z.zone_agg(K.clean_trips(trips(spark, folder))), path)
+    writers.write_zone_agg(Z.zone_agg(cleaned(spark, folder)), path)
     return spark.read.parquet(path)
 
 
@@ -145,18 +159,18 @@ def _remove_disputes(df: DataFrame) -> DataFrame:
 
 def _revenue(spark: SparkSession, folder: str) -> DataFrame:
     raw = trips(spark, folder)
-    return K.revenue_by_vendor(raw, K.clean_trips(raw))
+    return K.revenue_by_vendor(raw, cleaned(spark, folder))
 
 
 def _zone_groups(spark: SparkSession, folder: str) -> DataFrame:
     raw = trips(spark, folder)
-    return Z.zone_revenue_groups(zones(spark, folder, raw), Z.zone_revenue(K.clean_trips(raw)))
+    return Z.zone_revenue_groups(zones(spark, folder, raw), Z.zone_revenue(cleaned(spark, folder)))
 
 
 def _zone_view(zone_type: str, metric: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         raw = trips(spark, folder)
-        agg = Z.zone_agg(K.clean_trips(raw))
+        agg = Z.zone_agg(cleaned(spark, folder))
         view = Z.zone_view(zones(spark, folder, raw), agg, zone_type, metric)
         return view.withColumn("display_value", F.round("display_value", 9))
 
@@ -267,7 +281,7 @@ QUERIES: dict[str, Query] = {
     "total_check_by": _raw(Q.total_check_by),
     "negative_matrix": _raw(Q.negative_matrix),
     # outliers
-    "outlier_thresholds": _raw(O.outlier_thresholds),
+    "outlier_thresholds": _rounded(O.outlier_thresholds),
     "domain_thresholds": _raw(O.domain_thresholds),
     # discrepancy study
     "add_discrepancy": _gaps(
@@ -338,7 +352,7 @@ QUERIES: dict[str, Query] = {
     "zero_vs_rest_payment": _raw(C.zero_vs_rest_payment),
     "issues_by_vendor": _raw(C.issues_by_vendor),
     # cleaning
-    "clean_trips": _clean(lambda df: df),
+    "clean_trips": _raw(K.clean_trips),
     "clean_step_1_refunds": _raw(_remove_refunds),
     "clean_step_2_disputes": _raw(_remove_disputes),
     "clean_step_3_pickup": _raw(_step_keep(3)),
@@ -372,10 +386,10 @@ QUERIES: dict[str, Query] = {
     "kpi_summary": _clean(E.kpi_summary),
     "trips_by_date": _clean(E.trips_by_date),
     "trips_by_month": _clean(E.trips_by_month),
-    "histogram_distance": _clean(lambda df: E.histogram(df, F.col(S.DISTANCE))),
-    "histogram_duration": _clean(lambda df: E.histogram(df, seconds())),
-    "histogram_fare": _clean(lambda df: E.histogram(df, F.col(S.FARE))),
-    "histogram_total": _clean(lambda df: E.histogram(df, F.col(S.TOTAL))),
+    "histogram_distance": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.DISTANCE)))),
+    "histogram_duration": _clean(lambda df: with_rounding(E.histogram(df, seconds()))),
+    "histogram_fare": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.FARE)))),
+    "histogram_total": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.TOTAL)))),
     "passenger_freq": _clean(E.passenger_freq),
     "label_freq_payment": _clean(partial(E.label_freq, label="payment_label")),
     "label_freq_rate": _clean(partial(E.label_freq, label="rate_label")),

@@ -23,7 +23,7 @@ from triplens.functions.expressions import (
     share,
 )
 from triplens.operators.duplicates import flag_rows, remove_rows
-from triplens.operators.neighbours import LEVELS, dispute_rows, refund_rows
+from triplens.operators.neighbours import dispute_rows, refund_rows
 from triplens.sources.shared import broadcast_if_small
 
 STEP = "first_failed_step"
@@ -91,13 +91,13 @@ def duration_flag() -> Column:
     return (seconds() == 0) | (is_in(S.VENDOR, S.BAD_CLOCK_VENDORS) & (seconds() < 0))
 
 
-def step_refunds(df: DataFrame, levels: Sequence[int] = LEVELS) -> tuple[DataFrame, DataFrame]:
+def step_refunds(df: DataFrame, levels: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The set of refund ids (found on the raw rows) and the rows without them."""
     ids = broadcast_if_small(refund_rows(df, levels=levels))
     return ids, remove_rows(df, ids)
 
 
-def step_disputes(rest: DataFrame, levels: Sequence[int] = LEVELS) -> tuple[DataFrame, DataFrame]:
+def step_disputes(rest: DataFrame, levels: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The set of adjacent disputes among the rows left by step 1, and the rows without them."""
     ids = broadcast_if_small(dispute_rows(rest, levels=levels))
     return ids, remove_rows(rest, ids)
@@ -127,7 +127,7 @@ def clean_trips(
     df: DataFrame,
     start: str = S.WINDOW_START,
     end: str = S.WINDOW_END,
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """All steps in order; adds ``duration_mins`` and ``duration_flag``."""
     _, rest = step_refunds(df, levels)
@@ -142,7 +142,7 @@ def with_failed_step(
     df: DataFrame,
     start: str = S.WINDOW_START,
     end: str = S.WINDOW_END,
-    levels: Sequence[int] = LEVELS,
+    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Add the number of the step that drops the row; null for rows that stay."""
     refunds, rest = step_refunds(df, levels)

@@ -3,15 +3,21 @@
 The order tables have no trips. Each order becomes one trip, and some orders also become the
 void copies that billing systems write, so that every check has something to find. Each order
 row is read once; its copies come from exploding a short array.
+
+The table is derived once per application and stored in the shared folder, as trip tables are:
+queries then scan plain columns and push their filters down.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplens import schema as S
 from triplens.sources.readers import typed_trips
+from triplens.sources.shared import new_path, shared_folder
 
 START = "TIMESTAMP_NTZ '2024-12-30 00:00:00'"
 
@@ -61,7 +67,7 @@ AMOUNTS = {
 }
 
 
-def trips(spark: SparkSession, folder: str) -> DataFrame:
+def derive_trips(spark: SparkSession, folder: str) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     keys = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     base = keys.select("k", *[F.expr(e).alias(n) for n, e in BASE.items()])
@@ -74,12 +80,43 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
             F.expr("k*10+j").alias(S.ID),
             F.col("pu").alias(S.PICKUP),
             F.expr("pu + INTERVAL '1' SECOND * dur_s").alias(S.DROPOFF),
-            *[F.expr(f"CAST({e} AS DOUBLE)/100").alias(n) for n, e in amounts.items()],
+            *[F.expr(f"CAST({e} AS DECIMAL(10,0)) * 0.01").alias(n) for n, e in amounts.items()],
             S.VENDOR, S.PASSENGERS, S.DISTANCE, S.RATE, S.FLAG, S.PU, S.DO, S.PAYMENT, S.MONTH,
         )
     )
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(
+    spark: SparkSession,
+    name: str,
+    folder: str,
+    build: Callable[[], DataFrame],
+    write: Callable[[DataFrame, str], None],
+) -> DataFrame:
+    """The named table derived from a folder: written on first use, read from then on."""
+    if shared_folder(spark) is None:
+        return build()
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key not in _stored:
+        path = new_path(spark, name)
+        write(build(), path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def trips(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(
+        spark,
+        "trips",
+        folder,
+        lambda: derive_trips(spark, folder),
+        lambda df, path: df.write.parquet(path),
+    )
+
+
 def zones(spark: SparkSession, folder: str, trip_table: DataFrame) -> DataFrame:
     """Every zone that occurs in the trips, named after a nation, its borough after a region."""
     ids = (
