@@ -27,6 +27,15 @@ def instant(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def cents(col: str) -> Column:
+    """Money as whole cents: sums of it are plain long additions, as exact and much cheaper."""
+    return (F.col(col) * 100).cast("bigint")
+
+
+def from_cents(col: Column) -> Column:
+    return (col.cast("decimal(20,0)") * money("0.01")).cast("decimal(20,2)")
+
+
 def share(part: Column, whole: Column) -> Column:
     """100 * part / whole as double; null when the whole is zero."""
     return F.try_divide(F.lit(100.0) * part, whole.cast("double"))

@@ -13,7 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplens import schema as S
-from triplens.functions.expressions import both, money, share, share_of_all
+from triplens.functions.expressions import (
+    both,
+    cents,
+    from_cents,
+    money,
+    share,
+    share_of_all,
+)
 from triplens.functions.stats import weighted_median
 
 GROUP = "dup_group_id"
@@ -81,29 +88,39 @@ def pair_features(df: DataFrame, keys: Sequence[str] = S.STRICT_KEYS) -> DataFra
 
     A sum is null if one of its values is, except for the optional fees.
     """
-    every = F.count("*")
-    sums = []
-    for c in S.MONEY:
-        if c in NULL_AS_ZERO:
-            sums.append(F.coalesce(F.sum(c), money(0)).alias(f"sum_{c}"))
-        else:
-            sums.append(F.when(F.count(c) == every, F.sum(c)).alias(f"sum_{c}"))
     fare = F.col(S.FARE)
+    strict = [c for c in S.MONEY if c not in NULL_AS_ZERO]
+    # One bit per strict column that is null in some row: a single long instead of ten counts.
+    nulls = sum(
+        (F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(strict)), F.lit(0)
+    )
     groups = df.groupBy(*keys).agg(
-        every.alias("n"),
+        F.count("*").alias("n"),
         F.min(S.ID).alias(GROUP),
         F.count_if(fare > 0).alias("n_pos_fare"),
         F.count_if(fare < 0).alias("n_neg_fare"),
         F.count_if(fare == 0).alias("n_zero_fare"),
         F.min(fare).alias("min_fare"),
         F.max(fare).alias("max_fare"),
-        *sums,
+        F.bit_or(nulls).alias("nulls"),
+        *[F.sum(cents(c)).alias(f"c_{c}") for c in S.MONEY],
         F.min_by(S.TOTAL, S.ID).alias("row1_total"),
         F.max_by(S.TOTAL, S.ID).alias("row2_total"),
         F.min_by(S.FARE, S.ID).alias("row1_fare"),
         F.max_by(S.FARE, S.ID).alias("row2_fare"),
     )
-    return groups.where(F.col("n") > 1)
+
+    def summed(c: str) -> Column:
+        value = from_cents(F.col(f"c_{c}"))
+        if c in NULL_AS_ZERO:
+            return F.coalesce(value, money(0))
+        return F.when(F.col("nulls").bitwiseAND(1 << strict.index(c)) == 0, value)
+
+    return (
+        groups.where(F.col("n") > 1)
+        .withColumns({f"sum_{c}": summed(c) for c in S.MONEY})
+        .drop("nulls", *[f"c_{c}" for c in S.MONEY])
+    )
 
 
 def _cancels(*cols: str) -> Column:

@@ -67,10 +67,16 @@ AMOUNTS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; larger inputs are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derive_trips(spark: SparkSession, folder: str) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     keys = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
-    base = keys.select("k", *[F.expr(e).alias(n) for n, e in BASE.items()])
+    base = spread(keys).select("k", *[F.expr(e).alias(n) for n, e in BASE.items()])
     copies = base.select("*", F.explode(F.expr(COPIES)).alias("j"))
     signed = copies.select("*", *[F.expr(e).alias(n) for n, e in SIGNS.items()])
     cents = " + ".join(f"coalesce({e}, 0)" for e in AMOUNTS.values()) + " + gap_c*sg"
