@@ -152,7 +152,7 @@ def discrepancy_overall(df: DataFrame) -> DataFrame:
     # Reported percentiles.
     probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     sums = gap_counts(df).agg(
-        F.sum("n").alias("trips"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("trips"),
         weighted_count(has_gap(), n).alias("discrepant"),
         F.sum(gap * n).cast("double").alias("s1"),
         F.sum(gap * gap * n).cast("double").alias("s2"),
@@ -167,7 +167,7 @@ def discrepancy_overall(df: DataFrame) -> DataFrame:
         (F.col("trips") - off).alias("exact"),
         share(off, F.col("trips")).alias("pct_discrepant"),
         F.try_divide("s1", off).alias("mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("sd"),
+        F.sqrt(F.when(spread < 0, 0.0).otherwise(spread)).alias("sd"),
         *[F.col("q")[i].alias(name) for i, name in enumerate(probs)],
         "min",
         "max",

@@ -88,7 +88,7 @@ def kpi_summary(df: DataFrame) -> DataFrame:
         return F.try_divide(F.sum(f"s_{name}").cast("double"), F.sum(f"n_{name}").cast("double"))
 
     return counts.agg(
-        F.sum(n).alias("total_trips"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_trips"),
         F.sum(amount * n).cast("double").alias("total_revenue"),
         weighted_mean(amount, n).alias("avg_total_amount"),
         weighted_median(amount, n).alias("median_total_amount"),
@@ -197,10 +197,10 @@ def sample_points(
     """A repeatable random sample of exactly n rows (or all, if fewer).
 
     Rows are ranked by a hash of their id. Counting rows per hash prefix (at most 2**20
-    prefixes) tells up to which prefix rows are needed, so the final top-n only sorts about n
-    rows instead of n rows from every task.
+    prefixes) tells which prefixes are in, which are out, and how many rows the one on the
+    border still gives. So nothing is sorted but the rows inside a prefix, and n may be large.
     """
-    kept = df.where(F.lit(True))
+    kept = df
     for c in cols:
         kept = kept.where(F.col(c) >= 0)
     ticket = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -209,10 +209,12 @@ def sample_points(
     )
     sizes = ranked.groupBy("prefix").agg(F.count("*").alias("rows_"))
     up_to = F.sum("rows_").over(Window.orderBy("prefix"))
-    before = sizes.withColumn("before", up_to - F.col("rows_"))
-    last = before.where(F.col("before") < n).agg(F.max("prefix")).scalar()
-    chosen = ranked.where(F.col("prefix") <= last).orderBy("ticket", key).limit(n)
-    return chosen.select(key, *cols)
+    before = sizes.select("prefix", (up_to - F.col("rows_")).alias("before"))
+    border = before.where(F.col("before") < n).agg(F.max(F.struct("prefix", "before"))).scalar()
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy("ticket", key))
+    chosen = ranked.where(F.col("prefix") <= border["prefix"]).withColumn("place", place)
+    inside = (F.col("prefix") < border["prefix"]) | (F.col("place") <= n - border["before"])
+    return chosen.where(inside).select(key, *cols)
 
 
 def sample_in_range(
