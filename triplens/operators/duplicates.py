@@ -22,9 +22,12 @@ from triplens.functions.expressions import (
     share_of_all,
 )
 from triplens.functions.stats import weighted_median
+from triplens.sources.shared import broadcast_if_small, pin
 
 GROUP = "dup_group_id"
 CENT = "0.01"
+# A group is a row of up to all columns, a few hundred bytes.
+BROADCAST_GROUPS = 100_000
 CORE = (S.FARE, S.EXTRA, S.MTA, S.IMPROVEMENT)
 SURCHARGES = (S.CONGESTION, S.AIRPORT, S.CBD, S.TOLLS)
 NULL_AS_ZERO = (S.CONGESTION, S.AIRPORT, S.CBD)
@@ -59,11 +62,13 @@ def dup_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def dup_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of all groups with their group id.
 
-    A join, not a window: adaptive execution can split the rows of one hot group.
+    The groups are pinned and counted: if few, they go to all executors and no row is moved.
+    If many, it is a shuffle join, in which adaptive execution can split the rows of a hot group.
+    A window could not do that: it needs a whole group in one task.
     """
-    groups = dup_groups(df, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], GROUP)
+    groups = pin(dup_groups(df, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], GROUP))
     same = both([F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return df.join(groups, same).select(*df.columns, GROUP)
+    return df.join(broadcast_if_small(groups, BROADCAST_GROUPS), same).select(*df.columns, GROUP)
 
 
 def content_columns(df: DataFrame, exclude: Sequence[str] = (S.ID,)) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triplens import schema as S
 from triplens.functions import labels as L
 from triplens.functions.expressions import (
+    both,
     exact,
     instant,
     is_in,
@@ -221,19 +222,14 @@ def sample_in_range(
     df: DataFrame, n: int = 100_000, seed: int = 123, q: float = 0.99
 ) -> DataFrame:
     """The sample of (distance, total) among rows up to the exact quantile of both."""
-    counts = value_counts(
-        df, [], {S.DISTANCE: F.col(S.DISTANCE), S.TOTAL: F.col(S.TOTAL)}
-    ).where(F.col("value") >= 0)
-    caps = counts.groupBy("variable").agg(
-        weighted_percentile(F.col("value"), q, F.col("n")).alias("cap")
-    )
-
-    def cap(col: str) -> Column:
-        return caps.where(F.col("variable") == col).select("cap").scalar()
-
-    rows = df.where(
-        (F.col(S.DISTANCE) <= cap(S.DISTANCE)) & (F.col(S.TOTAL).cast("double") <= cap(S.TOTAL))
-    )
+    measures = {S.DISTANCE: F.col(S.DISTANCE), S.TOTAL: F.col(S.TOTAL)}
+    counts = value_counts(df, [], measures).where(F.col("value") >= 0)
+    caps = [
+        weighted_percentile(F.when(F.col("variable") == c, F.col("value")), q, F.col("n")).alias(c)
+        for c in measures
+    ]
+    cap = counts.agg(F.struct(*caps)).scalar()
+    rows = df.where(both([F.col(c).cast("double") <= cap[c] for c in measures]))
     return sample_points(rows, n, seed)
 
 

@@ -109,10 +109,11 @@ def levels_for(df: DataFrame, key: str = S.ID) -> tuple[int, ...]:
     return LEVELS[:1] if blocks <= 1 << TOP_BITS else LEVELS
 
 
-def _levels_for_pinned(pinned: DataFrame, levels: Sequence[int]) -> Sequence[int]:
+def _levels_for_pinned(pinned: DataFrame, key: str) -> tuple[int, ...]:
     """No blocks at all for a set that was counted and fits into one."""
-    counted = shared_folder(pinned.sparkSession) is not None
-    return () if counted and pinned.count() <= 1 << BITS else levels
+    if shared_folder(pinned.sparkSession) is not None and pinned.count() <= 1 << BITS:
+        return ()
+    return levels_for(pinned, key)
 
 
 def equals_neighbour(
@@ -136,11 +137,11 @@ def refund_rows(
     between them: they are read twice by the next test and are usually few.
     """
     rows = df.select(key, *cols)
-    given, levels = levels, levels_for(df, key) if levels is None else levels
+    used = levels_for(df, key) if levels is None else levels
     for i, col in enumerate(cols):
-        if i and given is None:
-            levels = _levels_for_pinned(rows, levels)
-        rows = pin(equals_neighbour(rows, col, key, levels))
+        if i and levels is None:
+            used = _levels_for_pinned(rows, key)
+        rows = pin(equals_neighbour(rows, col, key, used))
     return rows.select(key)
 
 
@@ -153,6 +154,5 @@ def dispute_rows(
 ) -> DataFrame:
     """Ids of disputed rows with the same pickup time as the dispute just before or after."""
     rows = pin(df.where(F.col(S.PAYMENT) == code).select(key, col))
-    if levels is None:
-        levels = _levels_for_pinned(rows, levels_for(rows, key))
-    return pin(equals_neighbour(rows, col, key, levels).select(key))
+    used = _levels_for_pinned(rows, key) if levels is None else levels
+    return pin(equals_neighbour(rows, col, key, used).select(key))

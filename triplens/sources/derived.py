@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from triplens import schema as S
 from triplens.sources.readers import typed_trips
@@ -92,7 +93,7 @@ def derive_trips(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def stored(
@@ -109,8 +110,9 @@ def stored(
     if key not in _stored:
         path = new_path(spark, name)
         write(build(), path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        _stored[key] = path, spark.read.parquet(path).schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def trips(spark: SparkSession, folder: str) -> DataFrame:
