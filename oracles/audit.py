@@ -387,6 +387,10 @@ ORACLES["airport_fee_top_zones"] = query(
 ORACLES["airport_fee_amounts"] = query(
     f"SELECT Airport_fee::DOUBLE AS Airport_fee, count(*) AS n FROM t WHERE {WRONG_FEE} GROUP BY Airport_fee"
 )
+ORACLES["airport_fee_amounts_one_fee"] = query(
+    "SELECT Airport_fee::DOUBLE AS Airport_fee, count(*) AS n FROM t WHERE Airport_fee > 0 AND Airport_fee <> 1.25"
+    " GROUP BY Airport_fee"
+)
 ORACLES["airport_fee_zone_vendors"] = query(
     f"SELECT VendorID, n, {whole_pct('n')} AS pct FROM (SELECT VendorID, count(*) AS n FROM t"
     f" WHERE {WRONG_ZONE} AND PULocationID = 70 GROUP BY VendorID)"

@@ -212,8 +212,8 @@ def _wrong_airport_zone() -> Column:
     return (F.col(S.AIRPORT) > 0) & ~is_in(S.PU, S.AIRPORT_PICKUP_ZONES)
 
 
-def _wrong_airport_fee() -> Column:
-    return (F.col(S.AIRPORT) > 0) & ~F.col(S.AIRPORT).isin(*[money(f) for f in S.AIRPORT_FEES])
+def _wrong_airport_fee(fees: Sequence[str] = S.AIRPORT_FEES) -> Column:
+    return (F.col(S.AIRPORT) > 0) & ~F.col(S.AIRPORT).isin(*[money(f) for f in fees])
 
 
 def airport_fee_anomalies(df: DataFrame) -> DataFrame:
@@ -232,8 +232,9 @@ def airport_fee_top_zones(df: DataFrame, n: int = 5) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc_nulls_last(S.PU)).limit(n)
 
 
-def airport_fee_amounts(df: DataFrame) -> DataFrame:
-    counts = df.where(_wrong_airport_fee()).groupBy(S.AIRPORT).agg(F.count("*").alias("n"))
+def airport_fee_amounts(df: DataFrame, fees: Sequence[str] = S.AIRPORT_FEES) -> DataFrame:
+    """Charged amounts that are none of the valid fees."""
+    counts = df.where(_wrong_airport_fee(fees)).groupBy(S.AIRPORT).agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), S.AIRPORT)
 
 

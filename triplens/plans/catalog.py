@@ -271,6 +271,7 @@ QUERIES: dict[str, Query] = {
     "airport_fee_anomalies": _raw(Q.airport_fee_anomalies),
     "airport_fee_top_zones": _raw(Q.airport_fee_top_zones),
     "airport_fee_amounts": _raw(Q.airport_fee_amounts),
+    "airport_fee_amounts_one_fee": _raw(partial(Q.airport_fee_amounts, fees=("1.25",))),
     "airport_fee_zone_vendors": _raw(Q.airport_fee_zone_vendors),
     "policy_counts": _raw(Q.policy_counts),
     "unknown_zone_counts": _raw(Q.unknown_zone_counts),
