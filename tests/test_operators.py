@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from tests.frames import later, make_trips, records
 from triplens import schema as S
 from triplens.functions.expressions import minutes, seconds
-from triplens.functions.stats import value_counts, weighted_median, weighted_percentile
+from triplens.functions.stats import (
+    binned_percentiles,
+    value_counts,
+    weighted_median,
+    weighted_percentile,
+)
 from triplens.operators import discrepancy as D
 from triplens.operators import duplicates as U
 from triplens.operators import durations as C
@@ -56,6 +61,22 @@ def test_counted_percentiles_equal_percentiles_of_rows(spark, trips):
     assert records(got, S.VENDOR) == records(want, S.VENDOR)
 
 
+@pytest.mark.parametrize("width", [0.01, 1.0, 7.5, 1e6])
+def test_binned_percentiles_equal_percentiles_of_rows(spark, trips, width):
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 0.9999, 1.0]
+    counts = value_counts(
+        trips, [S.VENDOR], {"total": F.col(S.TOTAL), "secs": seconds(), "none": F.lit(None)}
+    )
+    got = binned_percentiles(counts, [S.VENDOR, "variable"], probs, width)
+    want = counts.where(F.col("value").isNotNull()).groupBy(S.VENDOR, "variable").agg(
+        weighted_percentile(F.col("value"), probs, F.col("n")).alias("q")
+    )
+    assert records(got, S.VENDOR, "variable") == records(want, S.VENDOR, "variable")
+    everything = one(binned_percentiles(counts.where("variable = 'total'"), [], probs, width))
+    rows = trips.agg(F.percentile(F.col(S.TOTAL).cast("double"), F.array(*map(F.lit, probs))).alias("q"))
+    assert everything == one(rows)
+
+
 def test_median_of_nothing_is_null(spark):
     df = make_trips(spark, {S.FARE: None})
     counts = value_counts(df, [], {"x": F.col(S.FARE)})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from triplens import schema as S
@@ -12,24 +11,11 @@ from triplens.operators import discrepancy as D
 from triplens.operators import rules
 from triplens.operators.neighbours import ordered_neighbours
 from triplens.plans import cleaning as K
-from triplens.plans.catalog import QUERIES
-
-FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
-# These write their result first; their own plan is only the reading back.
-WRITING = {"read_trips", "read_zone_lookup", "read_zone_shapes", "write_clean", "write_zone_agg",
-           "write_read_summary", "save_report"}
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WRITING])
-def test_no_cross_join_and_no_python(name, spark, folder):
-    text = plan(QUERIES[name](spark, folder))
-    assert not [w for w in FORBIDDEN if w in text]
-
-
 def test_rows_never_go_to_one_partition(trips):
     """Only the ends of blocks of blocks meet in one task; rows are shuffled by block."""
     text = plan(ordered_neighbours(trips.select(S.ID, S.PU), [S.PU]))

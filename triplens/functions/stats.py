@@ -11,9 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplens.functions.expressions import SECONDS_TYPE
+from triplens.functions.expressions import SECONDS_TYPE, either
+from triplens.sources.shared import shared_folder
+
+# Up to this many counted values one reducer may merge them in memory.
+FEW_VALUES = 1_000_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
@@ -46,3 +51,58 @@ def weighted_mean(value: Column, n: Column) -> Column:
 
 def weighted_count(condition: Column, n: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+
+def binned_percentiles(
+    counts: DataFrame, by: Sequence[str], probs: Sequence[float], width: float = 1.0
+) -> DataFrame:
+    """(by.., q) with exact percentiles of (by.., value, n) for measures with very many values.
+
+    Counts per bin tell in which bins the wanted ranks lie; only those bins are then ordered
+    by value. No task holds more than the bins of a group or the values of a bin, and both
+    are streamed in order, not kept in memory. Groups must not be null.
+    """
+    rows = counts.where(F.col("value").isNotNull()).select(
+        *by, F.col("value").cast("double").alias("value"), "n"
+    )
+    rows = rows.withColumn("bin", F.floor(F.col("value") / F.lit(width)))
+    sizes = rows.groupBy(*by, "bin").agg(F.sum("n").alias("size"))
+    running = F.sum("size").over(W.partitionBy(*by).orderBy("bin"))
+    whole = F.sum("size").over(W.partitionBy(*by))
+    bins = sizes.select(*by, "bin", "size", running.alias("until"), whole.alias("whole"))
+
+    places = [(F.col("whole") - 1).cast("double") * F.lit(p) for p in probs]
+    wanted = either(
+        [
+            (F.floor(at) < F.col("until")) & (F.ceil(at) >= F.col("until") - F.col("size"))
+            for at in places
+        ]
+    )
+    inside = rows.join(bins.where(wanted), [*by, "bin"])
+    up_to = F.sum("n").over(W.partitionBy(*by, "bin").orderBy("value"))
+    ranked = inside.withColumn("last", F.col("until") - F.col("size") + up_to - 1)
+
+    def value_at(rank: Column) -> Column:
+        here = (rank <= F.col("last")) & (rank > F.col("last") - F.col("n"))
+        return F.max(F.when(here, F.col("value")))
+
+    def interpolated(at: Column) -> Column:
+        low, high = F.floor(at), F.ceil(at)
+        below, above = F.max(high - at), F.max(at - low)
+        return F.when(
+            value_at(low) == value_at(high), value_at(low)
+        ).otherwise(below * value_at(low) + above * value_at(high))
+
+    return ranked.groupBy(*by).agg(F.array(*[interpolated(at) for at in places]).alias("q"))
+
+
+def percentiles(
+    pinned_counts: DataFrame, by: Sequence[str], probs: Sequence[float], few: int = FEW_VALUES
+) -> DataFrame:
+    """(by.., q) from pinned counts: merged at once if counted to be few, else bin by bin."""
+    known = shared_folder(pinned_counts.sparkSession) is not None
+    if known and pinned_counts.count() <= few:
+        q = weighted_percentile(F.col("value").cast("double"), list(probs), F.col("n"))
+        found = pinned_counts.groupBy(*by).agg(q.alias("q"))
+        return found.where(F.col("q").isNotNull())
+    return binned_percentiles(pinned_counts, by, probs)

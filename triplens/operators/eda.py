@@ -21,11 +21,12 @@ from triplens.functions.expressions import (
     total,
 )
 from triplens.functions.stats import (
+    percentiles,
     value_counts,
     weighted_mean,
     weighted_median,
-    weighted_percentile,
 )
+from triplens.sources.shared import pin
 
 # Upper edges of the bands; the last band is open.
 DISTANCE_EDGES = (1, 3, 5, 10, 20)
@@ -136,17 +137,17 @@ def histogram(df: DataFrame, value: Column, bins: int = 60, q: float = 0.99) ->
 
     Equal values are counted once over the table; limits and bins both come from those counts.
     """
-    counts = (
+    counts = pin(
         value_counts(df, [], {"value": value})
         .where(F.col("value") >= 0)
         .select(F.col("value").cast("double").alias("value"), "n")
     )
-    cap = weighted_percentile(F.col("value"), q, F.col("n"))
-    limits = counts.agg(F.struct(F.min("value").alias("low"), cap.alias("cap"))).scalar()
-    low, width = limits["low"], (limits["cap"] - limits["low"]) / F.lit(float(bins))
+    limits = percentiles(counts, [], [0.0, q]).select("q").scalar()
+    low, cap = limits[0], limits[1]
+    width = (cap - low) / F.lit(float(bins))
     place = F.floor(F.try_divide(F.col("value") - low, width))
     slot = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
-    shown = counts.where(F.col("value") <= limits["cap"])
+    shown = counts.where(F.col("value") <= cap)
     return (
         shown.groupBy(slot.alias("bin"))
         .agg(F.sum("n").alias("n"))
@@ -223,12 +224,10 @@ def sample_in_range(
 ) -> DataFrame:
     """The sample of (distance, total) among rows up to the exact quantile of both."""
     measures = {S.DISTANCE: F.col(S.DISTANCE), S.TOTAL: F.col(S.TOTAL)}
-    counts = value_counts(df, [], measures).where(F.col("value") >= 0)
-    caps = [
-        weighted_percentile(F.when(F.col("variable") == c, F.col("value")), q, F.col("n")).alias(c)
-        for c in measures
-    ]
-    cap = counts.agg(F.struct(*caps)).scalar()
+    counts = pin(value_counts(df, [], measures).where(F.col("value") >= 0))
+    found = percentiles(counts, ["variable"], [q])
+    caps = [F.max(F.when(F.col("variable") == c, F.col("q")[0])).alias(c) for c in measures]
+    cap = found.agg(F.struct(*caps)).scalar()
     rows = df.where(both([F.col(c).cast("double") <= cap[c] for c in measures]))
     return sample_points(rows, n, seed)
 

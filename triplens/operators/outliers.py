@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from triplens import schema as S
 from triplens.functions.expressions import in_long_form, minutes, seconds
-from triplens.functions.stats import value_counts, weighted_count, weighted_percentile
+from triplens.functions.stats import percentiles, value_counts, weighted_count
+from triplens.sources.shared import pin
 
 # Quantiles and interquartile multiples.
 QUANTILES = {"p99": 0.99, "p99.9": 0.999, "p99.95": 0.9995, "p99.99": 0.9999}
@@ -33,7 +34,8 @@ def outlier_thresholds(
 ) -> DataFrame:
     """(variable, method, cutoff, n_above) for every variable and method.
 
-    One pass counts equal values; cutoffs and the rows above them both come from those counts.
+    One pass counts equal values; cutoffs and the rows above them both come from those pinned
+    counts.
     """
     measures = dict(measures or _measures())
     per_unit = {"duration_min": 60.0} if per_unit is None else per_unit
@@ -41,12 +43,10 @@ def outlier_thresholds(
     for name, unit in per_unit.items():
         scale = F.when(F.col("variable") == name, F.lit(unit)).otherwise(scale)
     counts = value_counts(df, [], measures).where(F.col("value").isNotNull())
-    counts = counts.withColumn("value", F.col("value").cast("double") / scale)
+    counts = pin(counts.withColumn("value", F.col("value").cast("double") / scale))
 
     probs = [0.25, 0.75, *QUANTILES.values()]
-    q = counts.groupBy("variable").agg(
-        weighted_percentile(F.col("value"), probs, F.col("n")).alias("q")
-    )
+    q = percentiles(counts, ["variable"], probs)
     low, high = F.col("q")[0], F.col("q")[1]
     cutoffs = {m: high + F.lit(k) * (high - low) for m, k in IQR_MULTIPLES.items()}
     cutoffs |= {m: F.col("q")[i + 2] for i, m in enumerate(QUANTILES)}
