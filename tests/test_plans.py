@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from triplens import schema as S
 from triplens.operators import discrepancy as D
 from triplens.operators import rules
-from triplens.operators.neighbours import ordered_neighbours
+from triplens.operators.neighbours import LEVELS, ordered_neighbours
 from triplens.plans import cleaning as K
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_rows_never_go_to_one_partition(trips):
-    """Only the ends of blocks of blocks meet in one task; rows are shuffled by block."""
-    text = plan(ordered_neighbours(trips.select(S.ID, S.PU), [S.PU]))
-    single = [i for i, line in enumerate(text.splitlines()) if "SinglePartition" in line]
-    lines = text.splitlines()
+@pytest.mark.parametrize("levels", [None, LEVELS])
+def test_rows_never_go_to_one_partition(trips, levels):
+    """Only the ends of the outermost blocks meet in one task; rows are shuffled by block."""
+    lines = plan(ordered_neighbours(trips.select(S.ID, S.PU), [S.PU], levels=levels)).splitlines()
+    single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
+    assert single
     for i in single:
         assert re.search(r"HashAggregate\(keys=\[_block1", lines[i + 1]), lines[i + 1]
 

@@ -12,11 +12,11 @@ from triplens.plans import reports
 from triplens.sources import readers, shared, writers
 
 LOOKUP = '''"LocationID","Borough","Zone","service_zone"
-1,"EWR","Newark Airport","EWR"
-56,"Queens","Corona","Boro Zone"
-57,"Queens","Corona","Boro Zone"
+1,"North","Harbour, East","A"
+56,"South","Mill","B"
+57,"South","Mill","B"
 264,"Unknown","N/A","N/A"
-265,"N/A","Outside of NYC","N/A"
+265,"N/A","Elsewhere","N/A"
 '''.replace("\n", "\r\n")
 
 SHAPES = '''"Location ID","Shape Geometry","Other"
@@ -32,7 +32,7 @@ def test_lookup_keeps_na_as_text(spark, tmp_path):
     rows = {r["LocationID"]: r for r in readers.read_zone_lookup(spark, str(path)).collect()}
     assert len(rows) == 5
     assert rows[264]["Zone"] == "N/A" and rows[265]["Borough"] == "N/A"
-    assert rows[56]["service_zone"] == "Boro Zone"
+    assert rows[1]["Zone"] == "Harbour, East" and rows[56]["service_zone"] == "B"
 
 
 def test_shapes_may_span_lines(spark, tmp_path):

@@ -86,19 +86,6 @@ def _link(
     )
 
 
-def ordered_neighbours(
-    df: DataFrame,
-    cols: Sequence[str],
-    key: str = S.ID,
-    levels: Sequence[int] = LEVELS,
-) -> DataFrame:
-    """Add ``prev_<c>`` and ``next_<c>`` for each column, in order of the unique integer key."""
-    if dict(df.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
-        raise TypeError(f"{key} must be a whole number")
-    rows = df.withColumn(key, F.col(key).cast("bigint"))
-    return _link(rows, key, list(cols), list(cols), list(levels))
-
-
 def levels_for(df: DataFrame, key: str = S.ID) -> tuple[int, ...]:
     """Fewer levels if the range of the keys proves that there can be few blocks.
 
@@ -109,6 +96,23 @@ def levels_for(df: DataFrame, key: str = S.ID) -> tuple[int, ...]:
     return LEVELS[:1] if blocks <= 1 << TOP_BITS else LEVELS
 
 
+def ordered_neighbours(
+    df: DataFrame,
+    cols: Sequence[str],
+    key: str = S.ID,
+    levels: Sequence[int] | None = None,
+) -> DataFrame:
+    """Add ``prev_<c>`` and ``next_<c>`` for each column, in order of the unique integer key.
+
+    The levels follow from the range of the keys unless given.
+    """
+    if dict(df.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{key} must be a whole number")
+    rows = df.withColumn(key, F.col(key).cast("bigint"))
+    used = levels_for(rows, key) if levels is None else levels
+    return _link(rows, key, list(cols), list(cols), list(used))
+
+
 def _levels_for_pinned(pinned: DataFrame, key: str) -> tuple[int, ...]:
     """No blocks at all for a set that was counted and fits into one."""
     if shared_folder(pinned.sparkSession) is not None and pinned.count() <= 1 << BITS:
@@ -117,7 +121,7 @@ def _levels_for_pinned(pinned: DataFrame, key: str) -> tuple[int, ...]:
 
 
 def equals_neighbour(
-    df: DataFrame, col: str, key: str = S.ID, levels: Sequence[int] = LEVELS
+    df: DataFrame, col: str, key: str = S.ID, levels: Sequence[int] | None = None
 ) -> DataFrame:
     """Rows whose value equals that of the previous or the next row; null equals nothing."""
     linked = ordered_neighbours(df, [col], key, levels)
