@@ -48,6 +48,8 @@ def share_of_all(n: str, *by: str) -> Column:
 
 def exact(col: Column | str) -> Column:
     """A measure as a decimal, so that its sum does not depend on the order of the rows."""
+    if isinstance(col, str) and col in S.MONEY:
+        return F.col(col)
     return (F.col(col) if isinstance(col, str) else col).cast(SECONDS_TYPE)
 
 
