@@ -118,3 +118,16 @@ def test_vendor_without_clean_rows_keeps_its_line(spark):
     got = records(K.revenue_by_vendor(raw, raw.where("VendorID = 1")), S.VENDOR)
     assert got[1] == {S.VENDOR: 1, "revenue_before": 16.75, "revenue_after": 16.75}
     assert got[None]["revenue_after"] is None
+
+
+def test_without_a_shared_folder_the_result_is_the_same(spark, trips, monkeypatch):
+    from triplens.functions import stats
+    from triplens.operators import neighbours
+    from triplens.sources import shared
+
+    want = {r[0] for r in neighbours.refund_rows(trips).collect()}
+    for module in (shared, neighbours, stats):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: None)
+    assert {r[0] for r in neighbours.refund_rows(trips).collect()} == want
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.new_path(spark, "x")
