@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from triplens.llm import minhash, quality
+from triplens.llm import minhash, mixing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,68 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_minhash_near_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP3 = """
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS c FROM bits WHERE k = 8),
+t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, 'null') AS k FROM documents),
+hx AS (SELECT r, strlen(text) AS n, hex(encode(text)) AS h FROM t),
+x AS (SELECT r, list(('0x' || substr(h, 2 * i::INT + 1, 2))::BIGINT ORDER BY i) AS x
+      FROM (SELECT r, h, unnest(range(n)) AS i FROM hx) GROUP BY r UNION ALL SELECT r, [] FROM hx WHERE n = 0),
+sums AS (SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, x), lambda c, b: xor(c >> 8, crc.c[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+         FROM x, crc),
+s AS (SELECT r, i, -1.0 / ln((('0x' || substr(md5(k || '|' || i), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS s
+      FROM t, range(17) u(i)),
+a AS (SELECT r, arg_max(i, (s, -i)) FILTER (i < 16) AS shard, arg_max(i, (s, -i)) AS grown_shard FROM s GROUP BY r)
+SELECT doc_id, (strlen(text) + 1)::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k), strlen(text), text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM t JOIN sums USING (r) JOIN a USING (r)
+"""
+
+
+@query("op3_rendezvous_shards", OP3)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    out = shards.assign(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _level(name: str, parents: str, keys: str, weight: str, above: str) -> str:
+    by = f"PARTITION BY {parents}" if parents else ""
+    join = f"JOIN {above} USING ({parents})" if parents else f"CROSS JOIN {above}"
+    return f"""
+{name}_n AS (SELECT {keys}, sum(tokens)::HUGEINT AS tokens, (2 * sum(tokens))::HUGEINT AS cap FROM leaf GROUP BY ALL),
+{name}_w AS (SELECT n.*, total, {weight} AS w, {keys.split(', ')[-1]} AS name FROM {name}_n n {join}),
+{name}_o AS (SELECT *, cap * sum(w) OVER ({by} ORDER BY cap::DOUBLE / w, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+             <= w * (total - coalesce(sum(cap) OVER ({by} ORDER BY cap::DOUBLE / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS full_
+             FROM {name}_w),
+{name}_b AS (SELECT {keys}, tokens, CASE WHEN full_ THEN cap ELSE
+             (w * (total - coalesce(sum(cap) FILTER (full_) OVER ({by}), 0))) // (sum(w) FILTER (NOT full_) OVER ({by})) END AS total FROM {name}_o)"""
+
+
+OP5 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, 'other') AS lang, coalesce(source, 'other') AS source,
+                  CASE WHEN regexp_full_match(source, 'src[0-7]') THEN 'web' WHEN regexp_full_match(source, 'src(8|9|10|11|12|13)') THEN 'books'
+                       WHEN regexp_full_match(source, 'src(14|15|16|17|18|19)') THEN 'forums' ELSE 'other' END AS domain,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+                  coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS id FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens FROM t GROUP BY ALL),
+root AS (SELECT ((sum(tokens) * 50) // 100)::HUGEINT AS total FROM leaf),
+{_level("d", "", "domain", "CASE domain WHEN 'web' THEN 50 WHEN 'books' THEN 30 WHEN 'forums' THEN 20 ELSE 5 END", "root")},
+{_level("g", "domain", "domain, lang", "CASE lang WHEN 'en' THEN 60 WHEN 'de' THEN 15 WHEN 'fr' THEN 15 WHEN 'es' THEN 10 ELSE 5 END", "(SELECT domain, total FROM d_b)")},
+{_level("s", "domain, lang", "domain, lang, source", "5", "(SELECT domain, lang, total FROM g_b)")},
+p AS (SELECT domain, lang, source, (total // tokens)::INT AS epochs, (total % tokens)::BIGINT AS rest FROM s_b WHERE tokens > 0),
+u AS (SELECT *, md5('7|' || epochs || '|' || id) AS h FROM t JOIN p USING (domain, lang, source) WHERE n_tokens > 0),
+c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM u)
+SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS copies
+FROM c WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
+
+
+@query("op5_source_mixing", OP5)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mixed(table(spark, folder, "documents"))
+    return out.select("_row.doc_id", "domain", "lang", "source", "n_tokens", "copies")
