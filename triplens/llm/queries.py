@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import minhash, mixing, quality, shards
+from triplens.llm import lines, minhash, mixing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,9 @@ FROM c WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     out = mixing.mixed(table(spark, folder, "documents"))
     return out.select("_row.doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+@query("op10_fuzzy_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
