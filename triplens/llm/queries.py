@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import lines, minhash, mixing, quality, shards
+from triplens.llm import bpe, lines, minhash, mixing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
+
+
+@query("op8_bpe_tree")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    out = bpe.encode(table(spark, folder, "documents"), bpe.vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
