@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import bpe, lines, minhash, mixing, quality, shards, vectors
+from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_embedding_near_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_site_style_tree")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    out = html.extract(table(spark, folder, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
