@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, vectors
+from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     out = html.extract(table(spark, folder, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op2_toxic_segments")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    out = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
