@@ -85,25 +85,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) for the links that ``verify`` leaves among nodes that share a bucket.
+Links = Callable[[DataFrame], DataFrame]
 
-    ``members`` has (bucket, node). ``verify`` keeps the rows of (a, b) that are links. First every
-    node is compared with the least node of each of its buckets, so a group of n copies costs n
-    comparisons. Then all nodes of a bucket that are still in different components are compared.
-    Pairs left out are inside one component already, so no component is lost.
+
+def all_pairs(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of one bucket that are in different components."""
+    left = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
+    right = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
+
+
+def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links]], rounds: int = 3) -> DataFrame:
+    """(node, component) for the links among nodes that share a bucket.
+
+    ``members`` has (bucket, node). ``prepare`` gets the nodes that share a bucket with another and
+    returns two functions: one keeps the rows of (a, b) that are links, the other finds links
+    between the components of (bucket, node, component). In the first round every node is compared
+    with the least node of each of its buckets, so a group of n copies costs n comparisons; in the
+    next ones with a random node of the bucket, if that is in another component. What is still
+    apart in a bucket after that is compared in full. Pairs left out are inside one component
+    already, so no component is lost.
     """
     heads = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = stored(members.join(heads.select("bucket", "lo"), "bucket").select("bucket", "node", "lo"), "shared")
-    tried = stored(shared.where("node != lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    first = stored(verify(tried), "links")
-    found = stored(components(first), "components")
-    known = shared.select("bucket", "node").join(found, "node", "left")
-    known = known.select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = stored(known.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-    left = open_.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
-    again = stored(verify(across.join(tried, ["a", "b"], "left_anti")), "links")
-    return components(first.unionByName(again)) if again.take(1) else found
+    shared = stored(members.join(heads.select("bucket"), "bucket", "left_semi"), "shared")
+    is_link, rest = prepare(shared.select("node").distinct())
+    known = shared.select("bucket", "node", F.col("node").alias("component"))
+    links = found = None
+    for turn in range(rounds + 1):
+        order = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.col("node")
+        head = known.groupBy("bucket").agg(
+            F.min_by(F.struct("node", "component"), order).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        )
+        head = head.where("lo < hi")
+        if turn < rounds:
+            pairs = known.join(head, "bucket").where("component != head.component")
+            pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+            new = stored(is_link(pairs), "links")
+        else:
+            new = stored(rest(known.join(head.select("bucket"), "bucket", "left_semi")), "links")
+        if links is not None and not new.take(1):
+            continue
+        links = new if links is None else links.unionByName(new)
+        found = stored(components(links), "components")
+        known = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        known = stored(known, "known")
+    return found

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplens.llm.common import linked, stored
+from triplens.llm.common import Links, linked, small, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -126,10 +126,12 @@ def node_of(text: str) -> str:
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(digest, bands) of the texts that have a word, once per batch."""
+
     def flush(nodes, sets):
         sizes = np.array([len(e) for e, _ in sets])
         found = signatures(np.concatenate([e for e, _ in sets]), np.concatenate([w for _, w in sets]).astype(np.float64), sizes, BANDS * ROWS)
-        return pd.DataFrame({"node": nodes, "bands": list(band_keys(found))})
+        return pd.DataFrame({"digest": nodes, "bands": list(band_keys(found))})
 
     for batch in batches:
         seen, nodes, sets, size = set(), [], [], 0
@@ -169,34 +171,86 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
+def _shared_weight(left: list[tuple], right: list[tuple]) -> Iterator[np.ndarray]:
+    """For each left set its similarity with every right set."""
+    vocabulary, code = np.unique(np.concatenate([e for e, _ in right]), return_inverse=True)
+    weights = np.concatenate([w for _, w in right])
+    starts = np.cumsum([0, *[len(e) for e, _ in right]])[:-1]
+    totals = np.add.reduceat(weights, starts)
+    own = np.zeros(len(vocabulary), np.int64)
+    for elements, weight in left:
+        at = np.searchsorted(vocabulary, elements)
+        at[at == len(vocabulary)] = 0
+        here = vocabulary[at] == elements
+        own[at[here]] = weight[here]
+        both = np.add.reduceat(np.minimum(own[code], weights), starts)
+        own[at[here]] = 0
+        yield both / np.maximum(totals + int(weight.sum()) - both, 1)
+
+
+def _across(group: pd.DataFrame) -> pd.DataFrame:
+    """One link from each left text to each component of the right texts it is similar to."""
+    left, right = group[group["left"]], group[~group["left"]]
+    out: dict[tuple, tuple] = {}
+    if len(left) and len(right):
+        nodes, groups = right["node"].to_numpy(), right["component"].to_numpy()
+        rows = _shared_weight([shingles(t) for t in left["text"]], [shingles(t) for t in right["text"]])
+        for node, component, similar in zip(left["node"], left["component"], rows, strict=True):
+            for k in np.nonzero((similar >= SIMILARITY) & (groups != component))[0]:
+                out.setdefault((node, groups[k]), (node, nodes[k]))
+    return pd.DataFrame({"a": [a for a, _ in out.values()], "b": [b for _, b in out.values()]}, dtype="int64")
+
+
+LEFT, RIGHT = 128, 512
+
+
 def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, component) of the texts that are linked to another; a node is the MD5 of a text."""
+    """(digest, component) of the texts that are linked to another; a digest is the MD5 of a text."""
     texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    nodes = stored(texts.mapInPandas(_sketch, "node string, bands array<bigint>").dropDuplicates(["node"]), "signatures")
+    nodes = texts.mapInPandas(_sketch, "digest string, bands array<bigint>").dropDuplicates(["digest"])
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "bands"), "signatures")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        ids = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node"))))).distinct()
-        held = texts.select(F.md5("text").alias("node"), "text").join(ids, "node", "left_semi")
-        held = stored(held.dropDuplicates(["node"]), "candidates")
-        x = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        y = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a string, b string")
+    def prepare(ids: DataFrame) -> tuple[Links, Links]:
+        wanted = stored(nodes.join(small(ids), "node", "left_semi").select("node", "digest"), "wanted")
+        held = texts.select(F.md5("text").alias("digest"), "text").join(small(wanted), "digest")
+        held = stored(held.select("node", "text").dropDuplicates(["node"]), "candidates")
+
+        def is_link(pairs: DataFrame) -> DataFrame:
+            x = held.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+            y = held.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+            both = pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text_b")
+            return both.mapInPandas(_similar, "a bigint, b bigint")
+
+        def rest(members: DataFrame) -> DataFrame:
+            """Every text outside its bucket's largest component against all others, in blocks."""
+            counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+            main = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+            main = main.select("bucket", F.col("main.component").alias("main"), ((F.col("n") - F.col("main.n") + LEFT - 1) / LEFT).cast("int").alias("lefts"), ((F.col("n") + RIGHT - 1) / RIGHT).cast("int").alias("rights"))
+            rows = members.join(main, "bucket")
+            mine = F.xxhash64("node", "bucket")
+            other = F.lit(0).cast("bigint")
+            left = rows.where("component != main").select("bucket", "node", "component", F.lit(True).alias("left"), F.pmod(mine, "lefts").cast("bigint").alias("l"), F.explode(F.sequence(other, F.col("rights").cast("bigint") - 1)).alias("r"))
+            right = rows.select("bucket", "node", "component", F.lit(False).alias("left"), F.explode(F.sequence(other, F.col("lefts").cast("bigint") - 1)).alias("l"), F.pmod(mine, "rights").cast("bigint").alias("r"))
+            data = left.unionByName(right).join(held, "node")
+            return data.groupBy("bucket", "l", "r").applyInPandas(_across, "a bigint, b bigint").distinct()
+
+        return is_link, rest
 
-    return linked(members, verify)
+    return nodes.select("node", "digest").join(linked(members, prepare), "node").select("digest", "component")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept) per row: the least id of the row's class, and whether it is this row's.
 
-    Of rows that repeat both the least id and its text all are kept; ``drop_repeats`` removes them.
+    Of rows that repeat both the least id and its text all are kept; the caller may drop repeats.
     """
-    found = near_classes(docs, text)
-    rows = docs.select(F.col(key).alias("doc_id"), F.md5(F.col(text).cast("string")).alias("node"), F.trim(F.translate(F.col(text).cast("string"), "\t\n\x0b\x0c\r", "     ")).alias("_body"))
-    rows = rows.select("doc_id", F.when(F.col("_body") != "", F.col("node")).alias("node"))
-    # A class is named by its component, by its text alone where nothing links to it, or by its id.
-    named = rows.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class"))
+    found = near_classes(docs, text).select("digest", F.col("component").cast("string").alias("component"))
+    body = F.col(text).cast("string")
+    has_words = F.translate(body, " \t\n\x0b\x0c\r", "") != ""
+    rows = docs.select(F.col(key).alias("doc_id"), F.when(has_words, F.md5(body)).alias("digest"))
+    # A class is named by its component, or by its text alone where nothing links to it.
+    named = rows.join(small(stored(found, "near")), "digest", "left").select("doc_id", F.coalesce("component", "digest").alias("class"))
     named = stored(named, "classes")
     first = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"))
     out = named.where(F.col("class").isNotNull()).join(first, "class").select("doc_id", "class_id")
