@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, toxicity, vectors
+from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, tokens, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     out = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_section_tokens")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = tokens.section_tokens(table(spark, folder, "documents"), *tokens.vocabulary())
+    return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
