@@ -71,7 +71,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = least.select("n", F.least("n", "m").alias("m"))
         # Neighbours above a node take the least node near it.
         large = both.join(least, both.a == least.n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
         # All nodes below a node, and itself, take the least of them.
         low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         joined = large.join(low, large.a == low.n)
@@ -95,15 +94,15 @@ def all_pairs(members: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
 
 
-def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links]], rounds: int = 3) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links]], rounds: int = 1) -> DataFrame:
     """(node, component) for the links among nodes that share a bucket.
 
     ``members`` has (bucket, node). ``prepare`` gets the nodes that share a bucket with another and
     returns two functions: one keeps the rows of (a, b) that are links, the other finds links
     between the components of (bucket, node, component). In the first round every node is compared
-    with the least node of each of its buckets, so a group of n copies costs n comparisons; in the
-    next ones with a random node of the bucket, if that is in another component. What is still
-    apart in a bucket after that is compared in full. Pairs left out are inside one component
+    with the least node of each of its buckets, so a group of n copies costs n comparisons; in
+    further ones with a random node of the bucket, if that is in another component. What is still
+    apart in a bucket after ``rounds`` rounds is compared in full. Pairs left out are inside one component
     already, so no component is lost.
     """
     heads = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")

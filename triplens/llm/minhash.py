@@ -240,19 +240,44 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return nodes.select("node", "digest").join(linked(members, prepare), "node").select("digest", "component")
 
 
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, class) of every row; a text without words has no class."""
+    found = near_classes(docs, text).select("digest", F.col("component").cast("string").alias("component"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    has_words = F.translate(body, " \t\n\x0b\x0c\r", "") != ""
+    rows = docs.select(F.col(key).alias("doc_id"), F.md5(body).alias("digest"), has_words.alias("_words"))
+    # A class is named by its component, or by its text alone where nothing links to it.
+    named = rows.join(small(stored(found, "near")), "digest", "left")
+    return stored(named.select("doc_id", "digest", F.when(F.col("_words"), F.coalesce("component", "digest")).alias("class")), "classes")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept) per row: the least id of the row's class, and whether it is this row's.
 
-    Of rows that repeat both the least id and its text all are kept; the caller may drop repeats.
+    Rows that repeat both the least id and its text are all marked as kept; ``first_of_classes``
+    leaves one of them.
     """
-    found = near_classes(docs, text).select("digest", F.col("component").cast("string").alias("component"))
-    body = F.col(text).cast("string")
-    has_words = F.translate(body, " \t\n\x0b\x0c\r", "") != ""
-    rows = docs.select(F.col(key).alias("doc_id"), F.when(has_words, F.md5(body)).alias("digest"))
-    # A class is named by its component, or by its text alone where nothing links to it.
-    named = rows.join(small(stored(found, "near")), "digest", "left").select("doc_id", F.coalesce("component", "digest").alias("class"))
-    named = stored(named, "classes")
+    named = classes(docs, key, text)
     first = named.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"))
     out = named.where(F.col("class").isNotNull()).join(first, "class").select("doc_id", "class_id")
     alone = named.where(F.col("class").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return out.unionByName(alone).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def first_of_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, all columns: the first by id (null last) and text; rows without words stay."""
+    named = classes(docs, key, text).where(F.col("class").isNotNull())
+    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"))
+    first = named.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = stored(named.select("class", place.alias("place")).join(first, "class").select("place", "first").distinct(), "copies")
+    lost = stored(rows.where("place != first").select(F.col("place.doc_id").alias("_doc"), F.col("place.digest").alias("_digest")), "lost")
+    # A row that is first may itself be given several times.
+    again = named.groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
+    again = stored(again, "again")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), F.md5(body).alias("_md5"))
+    same = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_digest"))
+    left = row.join(small(lost), same, "left_anti")
+    again = small(again)
+    once = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["_key", "_md5"]))
+    return once.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
