@@ -1,7 +1,7 @@
 """Main text of pages by a site style tree: same-host DOMs merged, entropy decides what a branch is worth.
 
 The pages of a host are merged into one tree whose nodes are paths of tags with their classes and
-ids. A node has as presentation the sequences of its child tags, and as content the texts of its
+ids. A node has as presentation the sequences of child tags it has on a page, and as content the texts of its
 blocks. Over the m pages of a host that have a node, its presentation is worth the entropy of its
 sequences (logarithms to base m), and a text found on k of them is worth 1 - log_m(k): what every
 page repeats is worth 0, what one page has is worth 1. A branch of a page is worth a mixture of
@@ -173,8 +173,12 @@ def _key(*parts) -> int:
 
 
 def features(site: str, nodes: list[Node], blocks: list[tuple[str, Node]]) -> tuple[set, set]:
-    """{(node, presentation)} and {text} keys of one page."""
-    shown = {(_key(site, n.path), _key(" ".join(t for t, before in zip(n.children, ["", *n.children]) if t != before))) for n in nodes if n.tag not in RAW}
+    """{(node, presentation)} and {text} keys of one page, one presentation for each node."""
+    children: dict[int, set[str]] = {}
+    for n in nodes:
+        if n.tag not in RAW:
+            children.setdefault(n.path, set()).add(" ".join(t for t, before in zip(n.children, ["", *n.children]) if t != before))
+    shown = {(_key(site, path), _key(*sorted(found))) for path, found in children.items()}
     texts = {_key(site, n.path, t) for t, n in blocks}
     return shown, texts
 

@@ -101,7 +101,7 @@ def segments(positive: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
 
 def decay(weights: np.ndarray, counts: np.ndarray) -> float:
     """lambda: the positive root of sum(p exp(lambda s)) = 1, for a mean weight below zero."""
-    p = counts / counts.sum()
+    p = counts / max(counts.sum(), 1e-9)
     if not (weights > 0).any() or (p * weights).sum() >= 0:
         return 1.0
     low, high = 0.0, 1.0
