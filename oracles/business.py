@@ -180,8 +180,9 @@ for name, value in {
     "histogram_fare": "fare_amount::DOUBLE",
     "histogram_total": "total_amount::DOUBLE",
 }.items():
+    unit = "60.0::DOUBLE" if value == "secs" else "1.0::DOUBLE"
     ORACLES[name] = query(
-        "SELECT bin, round(low + bin * width, 9) AS low, round(low + (bin + 1) * width, 9) AS high, n FROM (SELECT"
+        f"SELECT bin, round((low + bin * width) / {unit}, 9) AS low, round((low + (bin + 1) * width) / {unit}, 9) AS high, n FROM (SELECT"
         " coalesce(least(floor((v - low) / nullif(width, 0)), 59), 0)::INT AS bin, min(low) AS low, min(width) AS width,"
         " count(*) AS n FROM (SELECT v, low, (cap - low) / 60.0::DOUBLE AS width, cap FROM vals,"
         f" (SELECT min(v) AS low, {med('v', q=0.99)} AS cap FROM vals)) WHERE v <= cap GROUP BY 1)",
@@ -207,7 +208,7 @@ ORACLES["sample_points"] = query(
     "SELECT trip_id, trip_distance, total_amount::DOUBLE AS total_amount FROM c"
     f" WHERE trip_distance >= 0 AND total_amount >= 0 AND trip_distance <= (SELECT {med('trip_distance', 'trip_distance >= 0', 0.99)} FROM c)"
     f" AND total_amount::DOUBLE <= (SELECT {med('total_amount', 'total_amount >= 0', 0.99)} FROM c)"
-    " ORDER BY md5(trip_id::VARCHAR || ':123'), trip_id LIMIT 1000",
+    " ORDER BY md5(trip_id::VARCHAR || ':123'), trip_id LIMIT 100000",
     *CLEAN_STEPS,
 )
 KNOWN = "PULocationID IS NOT NULL AND PULocationID NOT IN (264, 265)"

@@ -195,9 +195,10 @@ for name, zone, order in (
     ("discrepancy_zone_top_dropoff", "DOLocationID", "discrepant"),
     ("discrepancy_zone_top_rate", "PULocationID", "pct_discrepant"),
 ):
-    ORACLES[name] = query(
-        f"{_summary(zone, GOOD, False)} HAVING count(*) >= 20 ORDER BY {order} DESC, {zone} LIMIT 20", *GAPS
-    )
+    for least, suffix in ((20, ""), (100, "_100")):
+        ORACLES[name + suffix] = query(
+            f"{_summary(zone, GOOD, False)} HAVING count(*) >= {least} ORDER BY {order} DESC, {zone} LIMIT 20", *GAPS
+        )
 MATCH = "abs(gap - congestion_surcharge) < 0.01"
 ORACLES["congestion_match"] = query(
     f"SELECT count(*) AS discrepant, {cnt(MATCH)} AS matching, {pct(cnt(MATCH), 'count(*)')} AS pct_matching"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from triplens.functions.expressions import SECONDS_TYPE, either
+from triplens.functions.expressions import SECONDS_TYPE, both, either
 from triplens.sources.shared import shared_folder
 
 # Up to this many counted values one reducer may merge them in memory.
@@ -60,7 +60,7 @@ def binned_percentiles(
 
     Counts per bin tell in which bins the wanted ranks lie; only those bins are then ordered
     by value. No task holds more than the bins of a group or the values of a bin, and both
-    are streamed in order, not kept in memory. Groups must not be null.
+    are streamed in order, not kept in memory. A null group is a group; no values give no row.
     """
     rows = counts.where(F.col("value").isNotNull()).select(
         *by, F.col("value").cast("double").alias("value"), "n"
@@ -78,7 +78,11 @@ def binned_percentiles(
             for at in places
         ]
     )
-    inside = rows.join(bins.where(wanted), [*by, "bin"])
+    named = bins.where(wanted).select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), "size", "until", "whole"
+    )
+    same = both([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, "bin"]])
+    inside = rows.join(named, same)
     up_to = F.sum("n").over(W.partitionBy(*by, "bin").orderBy("value"))
     ranked = inside.withColumn("last", F.col("until") - F.col("size") + up_to - 1)
 
@@ -93,7 +97,8 @@ def binned_percentiles(
             value_at(low) == value_at(high), value_at(low)
         ).otherwise(below * value_at(low) + above * value_at(high))
 
-    return ranked.groupBy(*by).agg(F.array(*[interpolated(at) for at in places]).alias("q"))
+    found = ranked.groupBy(*by).agg(F.array(*[interpolated(at) for at in places]).alias("q"))
+    return found.where(F.col("q")[0].isNotNull())
 
 
 def percentiles(

@@ -132,10 +132,11 @@ def demand_matrix(df: DataFrame, a: str, b: str = "pickup_hour") -> DataFrame:
     return trip_counts(add_calendar(df), a, b)
 
 
-def histogram(df: DataFrame, value: Column, bins: int = 60, q: float = 0.99) -> DataFrame:
+def histogram(df: DataFrame, value: Column, bins: int = 60, q: float = 0.99, unit: float = 1.0) -> DataFrame:
     """(bin, low, high, n) of the values between the smallest from zero on and an exact quantile.
 
     Equal values are counted once over the table; limits and bins both come from those counts.
+    Values are binned as they are; ``low`` and ``high`` are shown divided by ``unit``.
     """
     counts = pin(
         value_counts(df, [], {"value": value})
@@ -152,7 +153,10 @@ def histogram(df: DataFrame, value: Column, bins: int = 60, q: float = 0.99) ->
         shown.groupBy(slot.alias("bin"))
         .agg(F.sum("n").alias("n"))
         .withColumns(
-            {"low": low + F.col("bin") * width, "high": low + (F.col("bin") + 1) * width}
+            {
+                "low": (low + F.col("bin") * width) / F.lit(unit),
+                "high": (low + (F.col("bin") + 1) * width) / F.lit(unit),
+            }
         )
         .orderBy("bin")
     )

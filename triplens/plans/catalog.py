@@ -324,6 +324,9 @@ QUERIES: dict[str, Query] = {
     "discrepancy_zone_top_rate": _gaps(
         partial(D.discrepancy_zone_top, order_by="pct_discrepant", min_trips=20)
     ),
+    "discrepancy_zone_top_pickup_100": _gaps(D.discrepancy_zone_top),
+    "discrepancy_zone_top_dropoff_100": _gaps(partial(D.discrepancy_zone_top, zone=S.DO)),
+    "discrepancy_zone_top_rate_100": _gaps(partial(D.discrepancy_zone_top, order_by="pct_discrepant")),
     "congestion_match": _gaps(D.congestion_match),
     "congestion_inverse": _gaps(D.congestion_inverse),
     "congestion_vendor": _gaps(D.congestion_vendor),
@@ -388,7 +391,7 @@ QUERIES: dict[str, Query] = {
     "trips_by_date": _clean(E.trips_by_date),
     "trips_by_month": _clean(E.trips_by_month),
     "histogram_distance": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.DISTANCE)))),
-    "histogram_duration": _clean(lambda df: with_rounding(E.histogram(df, seconds()))),
+    "histogram_duration": _clean(lambda df: with_rounding(E.histogram(df, seconds(), unit=60.0))),
     "histogram_fare": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.FARE)))),
     "histogram_total": _clean(lambda df: with_rounding(E.histogram(df, F.col(S.TOTAL)))),
     "passenger_freq": _clean(E.passenger_freq),
@@ -397,7 +400,7 @@ QUERIES: dict[str, Query] = {
     "trips_by_hour": _clean(E.trips_by_hour),
     "weekday_demand": _clean(E.weekday_demand),
     "payment_behavior": _clean(E.payment_behavior),
-    "sample_points": _clean(partial(E.sample_in_range, n=1000)),
+    "sample_points": _clean(E.sample_in_range),
     "top_zones_trips": _clean(E.top_zones_by_trips),
     "top_zones_revenue": _clean(E.top_zones_by_revenue),
     "demand_matrix_month_hour": _clean(partial(E.demand_matrix, a="pickup_month_label")),

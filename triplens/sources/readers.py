@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +19,20 @@ ZONE_SCHEMA = T.StructType(
 
 
 def typed_trips(df: DataFrame) -> DataFrame:
-    """Cast to the trip schema, money to exact decimals; complain about missing columns."""
+    """Cast to the trip schema, money to exact decimals; complain about missing columns.
+
+    NaN counts as missing: Spark would sort it above every number and pass it through ``>=``.
+    """
     missing = [c for c in S.COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"trip table lacks columns: {', '.join(missing)}")
+    floating = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType | T.FloatType)}
+
+    def known(c: str) -> Column:
+        return F.when(~F.isnan(c), F.col(c)) if c in floating else F.col(c)
+
     return df.select(
-        *[F.col(c).cast(t).alias(c) for c, t in S.COLUMNS.items()],
+        *[known(c).cast(t).alias(c) for c, t in S.COLUMNS.items()],
         *[c for c in df.columns if c not in S.COLUMNS],
     )
 

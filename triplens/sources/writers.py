@@ -13,10 +13,11 @@ from triplens import schema as S
 def write_clean(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Parquet partitioned by pickup month, so later reads of a period skip the other months.
 
-    No shuffle is added: each task writes to the few months it holds.
+    Rows are brought together by month first, large months in several tasks, so the number of
+    files follows the data and not tasks times months.
     """
     month = F.date_format(S.PICKUP, "yyyy-MM").alias("pickup_month")
-    df.select("*", month).write.mode(mode).partitionBy("pickup_month").parquet(path)
+    df.select("*", month).hint("rebalance", "pickup_month").write.mode(mode).partitionBy("pickup_month").parquet(path)
 
 
 def write_zone_agg(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
