@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from triplens import schema as S
 from triplens.operators import discrepancy as D
+from triplens.operators import duplicates as U
 from triplens.operators import rules
+from triplens.operators import zones as Z
 from triplens.operators.neighbours import LEVELS, ordered_neighbours
 from triplens.plans import cleaning as K
 
@@ -55,3 +57,13 @@ def test_small_id_sets_leave_the_wide_table_unshuffled(trips):
     text = plan(clean)
     assert text.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in text
     assert clean.where(F.col(S.ID) < 0).count() == 0
+
+
+def test_wide_groups_are_made_of_rows_with_repeated_hashes_only(trips):
+    text = plan(U.exact_dup_counts(trips))
+    wide = text[text.index("Exchange hashpartitioning(VendorID") :]
+    assert "LeftSemi" in wide and "Exchange hashpartitioning" not in wide[10:]
+
+
+def test_zone_sums_read_the_trips_once(trips):
+    assert plan(Z.zone_agg(trips)).count("FileScan") == 1

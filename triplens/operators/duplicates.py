@@ -43,12 +43,27 @@ OTHER = "G_other_unclassified"
 MORE_THAN_TWO = "H_group_size_gt_2"
 
 
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys hash like those of another row: all rows of groups, and few others.
+
+    Only a hash of eight bytes per row is shuffled to count it, and only rows with a repeated hash
+    are left for what compares the keys themselves. Doubles are hashed without negative zero.
+    """
+    kinds = dict(df.dtypes)
+    plain = [F.col(k) + F.lit(0.0) if kinds[k] in ("double", "float") else F.col(k) for k in keys]
+    hashed = F.xxhash64(*plain)
+    twice = df.groupBy(hashed.alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    seen = broadcast_if_small(pin(twice))
+    return df.join(seen, hashed == F.col("_hash"), "left_semi")
+
+
 def dup_groups(df: DataFrame, keys: Sequence[str], key: str = S.ID) -> DataFrame:
     """Groups of rows equal on all keys (null equals null): id, keys and size.
 
     The smallest row id names the group: unique, repeatable and without a global ranking.
     """
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(key).alias(GROUP))
+    rows = repeated_keys(df, keys)
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(key).alias(GROUP))
     return groups.where(F.col("n") > 1)
 
 
@@ -99,7 +114,7 @@ def pair_features(df: DataFrame, keys: Sequence[str] = S.STRICT_KEYS) -> DataFra
     nulls = sum(
         (F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(strict)), F.lit(0)
     )
-    groups = df.groupBy(*keys).agg(
+    groups = repeated_keys(df, keys).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.min(S.ID).alias(GROUP),
         F.count_if(fare > 0).alias("n_pos_fare"),
