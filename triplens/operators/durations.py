@@ -18,7 +18,8 @@ from triplens.functions.expressions import (
     share,
     share_of_all,
 )
-from triplens.functions.stats import weighted_count, weighted_median
+from triplens.functions.stats import percentiles, weighted_count
+from triplens.sources.shared import pin
 
 FLAGS = (
     "pickup_before_window",
@@ -104,15 +105,24 @@ def _in_minutes(value: Column) -> Column:
     return value.cast("double") / F.lit(60.0)
 
 
+def _medians(counts: DataFrame, *by: str) -> DataFrame:
+    """(by.., median_mins) of counted durations, which may be as many as the rows."""
+    values = counts.where("below is not null").select(*by, F.col("below").alias("value"), "n")
+    found = percentiles(values, by, [0.5])
+    return found.select(*by, _in_minutes(F.col("q")[0]).alias("median_mins"))
+
+
 def neg_duration_headline(df: DataFrame) -> DataFrame:
     n, below = F.col("n"), F.col("below")
     negative = weighted_count(below.isNotNull(), n)
-    return _negative_counts(df).agg(
+    counts = pin(_negative_counts(df))
+    row = counts.agg(
         negative.alias("negative"),
         share(negative, F.sum(n)).alias("pct"),
         F.min(_in_minutes(below)).alias("most_negative"),
-        weighted_median(_in_minutes(below), n).alias("median_mins"),
     )
+    # One row at most on either side.
+    return row.join(F.broadcast(_medians(counts)), F.lit(True), "left")
 
 
 def neg_duration_by_vendor(df: DataFrame) -> DataFrame:
@@ -121,19 +131,15 @@ def neg_duration_by_vendor(df: DataFrame) -> DataFrame:
     named = df.withColumn("vendor", L.label(S.VENDOR, L.CLOCK_VENDOR, "Unknown"))
     fares = F.sum(F.when(below.isNotNull(), F.col("fare"))).cast("double")
     filled = F.sum(F.when(below.isNotNull(), F.col("n_fare"))).cast("double")
-    return (
-        _negative_counts(named, "vendor")
-        .groupBy("vendor")
-        .agg(
-            F.sum(n).alias("trips"),
-            negative.alias("negative"),
-            share(negative, F.sum(n)).alias("pct"),
-            F.min(_in_minutes(below)).alias("most_negative"),
-            weighted_median(_in_minutes(below), n).alias("median_mins"),
-            F.try_divide(fares, filled).alias("mean_fare"),
-        )
-        .orderBy(F.desc("negative"), "vendor")
+    counts = pin(_negative_counts(named, "vendor"))
+    rows = counts.groupBy("vendor").agg(
+        F.sum(n).alias("trips"),
+        negative.alias("negative"),
+        share(negative, F.sum(n)).alias("pct"),
+        F.min(_in_minutes(below)).alias("most_negative"),
+        F.try_divide(fares, filled).alias("mean_fare"),
     )
+    return rows.join(_medians(counts, "vendor"), "vendor", "left").orderBy(F.desc("negative"), "vendor")
 
 
 def neg_duration_examples(df: DataFrame, n: int = 5) -> DataFrame:

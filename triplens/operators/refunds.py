@@ -29,9 +29,11 @@ def refund_ids(df: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
     return pin(ids.distinct())
 
 
-def refund_flag(df: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
-    """Add ``any_negative`` and ``is_refund_pair``."""
-    ids = broadcast_if_small(refund_ids(df, levels))
+def refund_flag(
+    df: DataFrame, levels: Sequence[int] | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Add ``any_negative`` and ``is_refund_pair``; ids that are known already are not sought again."""
+    ids = broadcast_if_small(refund_ids(df, levels) if ids is None else ids)
     return flag_rows(df.withColumn(NEGATIVE, any_negative()), ids, REFUND)
 
 

@@ -62,17 +62,44 @@ def _rounded(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 _gaps = partial(_on, D.add_discrepancy)
-_flagged = partial(_on, R.refund_flag)
-_marked = partial(_on, K.with_failed_step)
 
 
-def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """The cleaned table that dashboards read, stored by month on first use."""
+def removal_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of refunds, disputes and refund pairs, stored on first use: neighbours are sought once."""
     return stored(
-        spark, "clean", folder, lambda: K.clean_trips(trips(spark, folder)), writers.write_clean
+        spark,
+        "removals",
+        folder,
+        lambda: K.removal_sets(trips(spark, folder)),
+        lambda df, path: df.write.parquet(path),
     )
 
 
+def _flagged(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ids = K.of_kind(removal_sets(spark, folder), K.PAIRS)
+        return with_doubles(fn(R.refund_flag(trips(spark, folder), ids=ids)))
+
+    return run
+
+
+def marked(spark: SparkSession, folder: str) -> DataFrame:
+    return K.with_failed_step(trips(spark, folder), sets=removal_sets(spark, folder))
+
+
+def _marked(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: with_doubles(fn(marked(spark, folder)))
+
+
+def _clean_now(spark: SparkSession, folder: str) -> DataFrame:
+    return K.clean_trips(trips(spark, folder), sets=removal_sets(spark, folder))
+
+
+def cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned table that dashboards read, stored by month on first use."""
+    return stored(spark, "clean", folder, lambda: _clean_now(spark, folder), writers.write_clean)
+
+
 def _clean(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: with_doubles(fn(cleaned(spark, folder)))
 
@@ -82,7 +109,7 @@ def _clean(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _round_trip_clean(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "clean")
-    writers.write_clean(K.clean_trips(trips(spark, folder)), path)
+    writers.write_clean(_clean_now(spark, folder), path)
     return with_doubles(spark.read.parquet(path)).withColumn(
         "pickup_month", F.col("pickup_month").cast("string")
     )
@@ -356,7 +383,7 @@ QUERIES: dict[str, Query] = {
     "zero_vs_rest_payment": _raw(C.zero_vs_rest_payment),
     "issues_by_vendor": _raw(C.issues_by_vendor),
     # cleaning
-    "clean_trips": _raw(K.clean_trips),
+    "clean_trips": lambda spark, folder: with_doubles(_clean_now(spark, folder)),
     "clean_step_1_refunds": _raw(_remove_refunds),
     "clean_step_2_disputes": _raw(_remove_disputes),
     "clean_step_3_pickup": _raw(_step_keep(3)),
@@ -377,7 +404,7 @@ QUERIES: dict[str, Query] = {
     "cleaning_total": _marked(K.cleaning_total),
     "revenue_by_vendor": _revenue,
     "fit_quality": lambda spark, folder: with_rounding(
-        K.fit_quality(K.with_failed_step(trips(spark, folder)))
+        K.fit_quality(marked(spark, folder))
     ),
     # aggregates for dashboards, on the cleaned trips
     "add_calendar": _raw(

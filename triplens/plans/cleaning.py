@@ -24,6 +24,7 @@ from triplens.functions.expressions import (
 )
 from triplens.operators.duplicates import flag_rows, remove_rows
 from triplens.operators.neighbours import dispute_rows, refund_rows
+from triplens.operators.refunds import refund_ids
 from triplens.sources.shared import broadcast_if_small
 
 STEP = "first_failed_step"
@@ -103,6 +104,27 @@ def step_disputes(rest: DataFrame, levels: Sequence[int] | None = None) -> tuple
     return ids, remove_rows(rest, ids)
 
 
+REFUNDS, DISPUTES, PAIRS = "refunds", "disputes", "pairs"
+
+
+def removal_sets(df: DataFrame, levels: Sequence[int] | None = None) -> DataFrame:
+    """(id, kind) of all id sets that need neighbours: what steps 1 and 2 drop, and refund pairs.
+
+    This is the one prepare step of the cleaning and of the refund study: its result can be stored
+    and handed to them, which then only join.
+    """
+    refunds, rest = step_refunds(df, levels)
+    disputes, _ = step_disputes(rest, levels)
+    kinds = {REFUNDS: refunds, DISPUTES: disputes, PAIRS: refund_ids(df, levels)}
+    parts = [ids.select(S.ID, F.lit(kind).alias("kind")) for kind, ids in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def of_kind(sets: DataFrame, kind: str) -> DataFrame:
+    """One id set of stored removal sets, sent to all executors if it is small."""
+    return broadcast_if_small(sets.where(F.col("kind") == kind).select(S.ID))
+
+
 def negative_extra() -> Column:
     return (F.col(S.EXTRA) < 0) & (F.col(S.FARE) >= 0)
 
@@ -128,10 +150,14 @@ def clean_trips(
     start: str = S.WINDOW_START,
     end: str = S.WINDOW_END,
     levels: Sequence[int] | None = None,
+    sets: DataFrame | None = None,
 ) -> DataFrame:
     """All steps in order; adds ``duration_mins`` and ``duration_flag``."""
-    _, rest = step_refunds(df, levels)
-    _, rest = step_disputes(rest, levels)
+    if sets is None:
+        _, rest = step_refunds(df, levels)
+        _, rest = step_disputes(rest, levels)
+    else:
+        rest = remove_rows(remove_rows(df, of_kind(sets, REFUNDS)), of_kind(sets, DISPUTES))
     for rule in row_rules(start, end):
         rest = rest.where(rule.keep())
     flagged = rest.withColumns({"duration_mins": minutes(), "duration_flag": duration_flag()})
@@ -143,10 +169,14 @@ def with_failed_step(
     start: str = S.WINDOW_START,
     end: str = S.WINDOW_END,
     levels: Sequence[int] | None = None,
+    sets: DataFrame | None = None,
 ) -> DataFrame:
     """Add the number of the step that drops the row; null for rows that stay."""
-    refunds, rest = step_refunds(df, levels)
-    disputes, _ = step_disputes(rest, levels)
+    if sets is None:
+        refunds, rest = step_refunds(df, levels)
+        disputes, _ = step_disputes(rest, levels)
+    else:
+        refunds, disputes = of_kind(sets, REFUNDS), of_kind(sets, DISPUTES)
     marked = flag_rows(flag_rows(df, refunds, "_refund"), disputes, "_dispute")
     step = F.when(F.col("_refund"), 1).when(F.col("_dispute"), 2)
     for rule in row_rules(start, end):
