@@ -2,10 +2,10 @@
 
 Vectors are compared inside their label only. Each of several tables hashes a vector to the signs
 of its products with random planes; vectors that share a bucket of any table are compared exactly.
-Equal vectors are one row with a count while they are compared. A bucket is cut into blocks and
-every pair of blocks is a task of its own, so a bucket of any size is spread over tasks, and what
-leaves a task is a count per vector and a spanning forest of the links, not the pairs themselves.
-A pair is counted in the first table in which it shares a bucket.
+Equal vectors are one row with a count while they are compared. Small buckets are compared many at
+a time; a large one is cut into blocks of which every pair is a unit of work, so a bucket of any
+size is spread over tasks. What leaves a unit is a count per vector and a spanning forest of the
+links, not the pairs. A pair is counted in the first table in which it shares a bucket.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor does a vector without a label; vectors of different lengths are not compared;
@@ -26,7 +26,10 @@ from triplens.llm.common import components, stored
 
 SIMILARITY = 0.93
 TABLES, PLANES = 24, 12
-BLOCK = 256
+# Rows of a block of a large bucket, and of a unit of small ones.
+BLOCK, UNIT = 256, 4096
+# Runs of equal buckets from this length on are multiplied as matrices.
+RUN = 24
 SEED = 20240
 """At cosine 0.93 two signs agree with probability 0.88, so a table of 12 planes finds a pair with
 probability 0.216 and 24 tables with 0.997."""
@@ -46,10 +49,17 @@ def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for _, part in batch.groupby(batch["vector"].map(len)):
             part = part.copy()
-            part["keys"] = list(hashes(np.stack(part["vector"].to_numpy())))
+            found = hashes(_unit(part["vector"]))
+            part["keys"] = list(found)
+            part["packed"] = [k.tobytes() for k in found]
             yield part
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    out = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return out / np.sqrt((out * out).sum(axis=1))[:, None]
+
+
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Links that hold together what all links (a, b) of n nodes hold together."""
     root = list(range(n))
@@ -69,59 +79,76 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _pairs(run: np.ndarray, unit: np.ndarray, first: np.ndarray, second: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one bucket whose cosine is high enough. Rows are sorted by ``run``, their bucket."""
+    n = len(run)
+    left, right = [], []
+    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    length = np.repeat(sizes, sizes)
+    for d in range(1, RUN):
+        i = np.flatnonzero((run[d:] == run[:-d]) & (length[d:] < RUN))
+        if not len(i):
+            break
+        i = i[np.einsum("ij,ij->i", unit[i], unit[i + d]) >= SIMILARITY]
+        left.append(i)
+        right.append(i + d)
+    for start, size in zip(starts[sizes >= RUN], sizes[sizes >= RUN], strict=True):
+        part = unit[start : start + size]
+        i, j = np.nonzero(np.triu(part @ part.T >= SIMILARITY, 1))
+        left.append(i + start)
+        right.append(j + start)
+    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    # Of two different blocks only the pairs across are this unit's.
+    mine = (first[i] == second[i]) | (block[i] != block[j])
+    return i[mine], j[mine]
+
+
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows (node, n, near) of one block pair: n counts linked vectors; near is a linked node or null."""
-    table, low = int(group["bucket_table"].iloc[0]), group["block"].to_numpy() == group["first"].to_numpy()
-    same = bool((group["first"] == group["second"]).all())
-    left = group[low]
-    right = left if same else group[~low]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"node": [], "n": [], "near": []})
-    x, y = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
-    hit = x @ y.T >= SIMILARITY
-    i, j = np.nonzero(np.triu(hit, 1) if same else hit)
-    kx, ky = np.stack(left["keys"].to_numpy()), np.stack(right["keys"].to_numpy())
-    if table:
-        new = ~(kx[i, :table] == ky[j, :table]).any(axis=1)
+    """Rows (node, n, near) of one unit: n counts linked vectors; near is a linked node or null."""
+    out = []
+    for _, rows in group.groupby(group["vector"].map(len)):
+        rows = rows.sort_values(["bucket", "node"], kind="stable")
+        nodes, copies, table = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["place"].to_numpy()
+        i, j = _pairs(rows["bucket"].to_numpy(), _unit(rows["vector"]), rows["first"].to_numpy(), rows["second"].to_numpy(), rows["block"].to_numpy())
+        keys = np.stack([np.frombuffer(k, np.int32) for k in rows["packed"]])
+        same = keys[i] == keys[j]
+        labels = rows["label"].to_numpy()
+        new = (same.argmax(axis=1) == table[i]) & (labels[i] == labels[j]) if len(i) else np.empty(0, bool)
         i, j = i[new], j[new]
-    nx, ny = left["node"].to_numpy(), right["node"].to_numpy()
-    count: dict[int, int] = {}
-    cx = np.bincount(i, weights=right["copies"].to_numpy()[j], minlength=len(nx))
-    cy = np.bincount(j, weights=left["copies"].to_numpy()[i], minlength=len(ny))
-    for ids, c in ((nx, cx), (ny, cy)):
-        for k in np.nonzero(c)[0]:
-            count[ids[k]] = count.get(ids[k], 0) + int(c[k])
-    names = np.concatenate([nx, ny]) if not same else nx
-    links = _forest(len(names), i, j if same else j + len(nx))
-    rows = [(node, n, None) for node, n in count.items()] + [(names[a], 0, names[b]) for a, b in links]
-    return pd.DataFrame({"node": [r[0] for r in rows], "n": [r[1] for r in rows], "near": pd.array([r[2] for r in rows], dtype="Int64")})
+        names, at = np.unique(nodes, return_inverse=True)
+        count = np.bincount(at[i], weights=copies[j], minlength=len(names)) + np.bincount(at[j], weights=copies[i], minlength=len(names))
+        out += [(names[k], int(count[k]), None) for k in np.flatnonzero(count)]
+        out += [(names[a], 0, names[b]) for a, b in _forest(len(names), at[i], at[j])]
+    return pd.DataFrame({"node": [r[0] for r in out], "n": [r[1] for r in out], "near": pd.array([r[2] for r in out], dtype="Int64")})
 
 
 def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
-    cast = F.col(vector).cast("array<double>")
-    rows = table.select(F.col(key).alias("id"), F.col(label).alias("label"), cast.alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    kind = "array<float>" if dict(table.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = table.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(kind).alias("vector"))
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (F.col("norm") > 0) & (F.col("norm") < float("inf"))
-    rows = rows.select("id", "label", "vector", norm.alias("norm")).select("id", "label", "vector", "norm", F.coalesce(usable, F.lit(False)).alias("usable"))
-    digest = F.md5(F.concat_ws(",", F.col("label").cast("string"), F.to_json("vector")))
-    rows = rows.select("id", "label", F.when(F.col("usable"), F.transform("vector", lambda x: x / F.col("norm"))).alias("vector"), F.when(F.col("usable"), digest).alias("digest"))
-    once = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (F.col("square") > 0) & (F.col("square") < float("inf"))
+    rows = rows.select("*", square.alias("square"))
+    digest = F.md5(F.concat_ws(",", "label", F.to_json("vector")))
+    rows = rows.select("id", "label", "vector", F.when(F.coalesce(usable, F.lit(False)), digest).alias("digest"))
+    once = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").cast("bigint").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     once = once.select(F.monotonically_increasing_id().alias("node"), "*")
-    schema = "node bigint, digest string, least bigint, copies bigint, label string, vector array<double>, keys array<int>"
-    once = once.select("node", "digest", F.col("least").cast("bigint"), "copies", F.col("label").cast("string"), "vector").mapInPandas(_hash, schema)
-    once = stored(once, "vectors")
-    members = once.select("node", "label", F.size("vector").alias("size"), F.posexplode("keys").alias("bucket_table", "bucket"))
-    bucket = ["label", "size", "bucket_table", "bucket"]
-    # Blocks of a bucket by hash, as many as hold about BLOCK rows each.
-    sizes = members.groupBy(*bucket).agg(F.count("*").alias("rows")).where("rows > 1")
-    blocks = sizes.select(*bucket, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    held = members.join(blocks, bucket).select("node", *bucket, "blocks", F.pmod(F.xxhash64("node", "bucket_table"), F.col("blocks")).cast("int").alias("block"))
+    schema = f"node bigint, digest string, least bigint, copies bigint, label string, vector {kind}, keys array<int>, packed binary"
+    once = stored(once.mapInPandas(_hash, schema), "vectors")
+    members = once.select("node", "label", F.size("vector").alias("size"), F.posexplode("keys").alias("place", "key"))
+    members = members.select("node", "place", F.xxhash64("label", "size", "place", "key").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    units = max(1, once.count() * TABLES // UNIT)
+    # A small bucket belongs to a unit of many; a large one is blocks by hash of about BLOCK rows.
+    small_ = F.col("rows") <= 2 * BLOCK
+    plan = sizes.select("bucket", F.when(small_, F.pmod("bucket", F.lit(units))).otherwise(-1 - F.pmod("bucket", F.lit(1 << 62))).alias("unit"), F.when(small_, F.lit(1)).otherwise(F.ceil(F.col("rows") / BLOCK)).cast("int").alias("blocks"))
+    held = members.join(plan, "bucket").select("*", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int").alias("block"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("first"), F.greatest("block", o).alias("second")))
-    spread = held.select("node", *bucket, "block", F.inline(pair))
-    data = spread.join(once.select("node", "vector", "keys", "copies"), "node")
-    found = data.groupBy(*bucket, "first", "second").applyInPandas(_compare, "node bigint, n bigint, near bigint")
+    spread = held.select("node", "place", "bucket", "unit", "block", F.inline(pair))
+    data = spread.join(once.select("node", "label", "vector", "packed", "copies"), "node")
+    found = data.groupBy("unit", "first", "second").applyInPandas(_compare, "node bigint, n bigint, near bigint")
     found = stored(found, "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("links"))
     edges = found.where("near is not null").select(F.col("node").alias("a"), F.col("near").alias("b"))
