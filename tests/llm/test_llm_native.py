@@ -152,11 +152,10 @@ def test_lines_keep_the_first_of_each_group(spark):
 
 
 def test_simhash_equals_brute_force(spark):
-    texts = [line(1), "a a a b c", line(5, 200)]
-    distinct = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "hash string, norm string")
-    got = {r.hash: r.sim for r in lines.simhashes(distinct).collect()}
-    for i, t in enumerate(texts):
-        ws = t.split(" ")
-        hashes = [r.h for r in spark.createDataFrame([(w,) for w in ws], "w string").select(F.xxhash64("w").alias("h")).collect()]
-        want = sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(ws))
-        assert got[str(i)] == want
+    texts = [line(1), "a a a b c", line(5, 200), " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(700)), " ".join(f"w{i}" for i in range(70_000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, norm string")
+    got = {r.i: r.sim for r in df.select("i", lines.simhash("norm").alias("sim")).collect()}
+    words = df.select("i", F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).select("i", F.xxhash64("w").alias("h")).collect()
+    for i in range(len(texts)):
+        hashes = [r.h for r in words if r.i == i]
+        assert got[i] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
