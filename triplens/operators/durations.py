@@ -121,8 +121,7 @@ def neg_duration_headline(df: DataFrame) -> DataFrame:
         share(negative, F.sum(n)).alias("pct"),
         F.min(_in_minutes(below)).alias("most_negative"),
     )
-    # One row at most on either side.
-    return row.join(F.broadcast(_medians(counts)), F.lit(True), "left")
+    return row.withColumn("median_mins", _medians(counts).scalar())
 
 
 def neg_duration_by_vendor(df: DataFrame) -> DataFrame:
