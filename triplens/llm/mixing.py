@@ -100,7 +100,7 @@ def budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
         parent, name = list(LEVELS[: depth - 1]), LEVELS[depth - 1]
         nodes = leaves.groupBy(*LEVELS[:depth]).agg(F.sum("cap").cast(number).alias("cap"), F.sum("tokens").cast(number).alias("tokens"))
         nodes = nodes.select("*", F.col(name).alias("name"), _weight(name, weights[depth - 1], mix.default_weight).alias("weight"))
-        nodes = nodes.join(above, parent) if above is not None else nodes.join(F.broadcast(total))
+        nodes = nodes.join(above, parent) if above is not None else nodes.withColumn("total", total.scalar())
         above = _shared(nodes, parent).select(*LEVELS[:depth], "tokens", F.col("budget").alias("total"))
         if depth < 3:
             above = above.drop("tokens")

@@ -63,12 +63,13 @@ def log_odds(counts: DataFrame) -> DataFrame:
     kinds = F.array_distinct(F.array(*[F.substring("stem", 1, n) for n in STEMS]))
     stems = counts.select(F.explode(kinds).alias("stem"), "corpus", "toxic", "clean")
     stems = stems.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")]).where("toxic > 0")
-    total = counts.agg(*[F.sum(c).cast("double").alias(f"all_{c}") for c in ("corpus", "toxic", "clean")])
+    total = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("corpus", "toxic", "clean")]).first()
     # The prior counts as a share of the training tokens, spread over stems as the corpus is.
-    out = stems.join(F.broadcast(total))
+    out = stems
     for c in ("toxic", "clean"):
-        out = out.withColumn(f"y_{c}", F.col(c) + F.expr(f"{PRIOR} * all_{c} * corpus / all_corpus"))
-        out = out.withColumn(f"l_{c}", F.expr(f"ln(y_{c} / greatest(all_{c} * {1 + PRIOR} - y_{c}, 0.5))"))
+        share = F.lit(PRIOR * total[c] / max(total.corpus, 1.0))
+        out = out.withColumn(f"y_{c}", F.col(c) + share * F.col("corpus"))
+        out = out.withColumn(f"l_{c}", F.ln(F.col(f"y_{c}") / F.greatest(F.lit(total[c] * (1 + PRIOR)) - F.col(f"y_{c}"), F.lit(0.5))))
     out = out.where("y_clean > 0").select("stem", F.expr("l_toxic - l_clean").alias("odds"), F.expr("(l_toxic - l_clean) / sqrt(1 / y_toxic + 1 / y_clean)").alias("z"))
     return out.where(f"z >= {MIN_Z} and odds >= {MIN_ODDS}")
 
