@@ -159,3 +159,35 @@ def test_simhash_equals_brute_force(spark):
     for i in range(len(texts)):
         hashes = [r.h for r in words if r.i == i]
         assert got[i] == sum(1 << b for b in range(lines.BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def touched(r, words, n):
+    out = list(words)
+    for i in r.sample(range(len(out)), n):
+        at = r.randrange(len(out[i]))
+        out[i] = out[i][:at] + r.choice("qxz") + out[i][at + 1 :]
+    return " ".join(out)
+
+
+def test_near_lines_are_found_at_every_length(spark):
+    """Share of the pairs of a brute-force edit-similarity join that end in one group, by words a line."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 10))) for _ in range(3000)]
+    rows = []
+    for n in (5, 8, 12, 20, 30, 60, 100):
+        for i in range(60):
+            words = [r.choice(vocabulary) for _ in range(n)]
+            rows += [(len(rows), n, " ".join(words)), (len(rows) + 1, n, touched(r, words, 1 if i % 2 else max(1, n // 10)))]
+    wide = "".join(chr(0x4E00 + i * 7) for i in range(60))  # a line without spaces, among five words
+    rows += [(len(rows), 0, f"a b c d {wide}"), (len(rows) + 1, 0, f"a b c d {wide[:30]}x{wide[31:]}")]
+    df = spark.createDataFrame(rows, "doc_id long, n int, text string")
+    a, b = (df.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x), "n") for x in "ab")
+    near = a.join(b, "n").where("a < b and levenshtein(ta, tb, cast(floor(greatest(length(ta), length(tb)) * 0.1D) as int)) >= 0")
+    gone = {x.doc_id for x in lines.dedup_lines(df).where("_gone > 0").collect()}
+    found = collections.defaultdict(list)
+    for x in near.collect():
+        found[x.n].append((x.b in gone, min(len(x.ta), len(x.tb))))
+    assert all(hit for v in found.values() for hit, short in v if short < lines.SEGMENTED)
+    recall = {n: sum(hit for hit, _ in v) / len(v) for n, v in sorted(found.items())}
+    assert len(recall) == 8 and all(x >= 0.95 for x in recall.values()), recall
+    assert len(gone) == sum(hit for v in found.values() for hit, _ in v)
