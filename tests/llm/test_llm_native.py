@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from triplens.llm import lines, mixing, quality, shards
+from triplens.llm import lines, mixing, quality, queries, shards
 
 LONG = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) for i in range(6))
 NASTY = [None, "", " \n\t ", "a", LONG, LONG, "x\x0by\x0cz\rw", "é ü   b", "a b c " * 40, "line one here\n" * 30, "w " * 3000]
@@ -191,3 +191,11 @@ def test_near_lines_are_found_at_every_length(spark):
     recall = {n: sum(hit for hit, _ in v) / len(v) for n, v in sorted(found.items())}
     assert len(recall) == 8 and all(x >= 0.95 for x in recall.values()), recall
     assert len(gone) == sum(hit for v in found.values() for hit, _ in v)
+
+
+def test_the_query_removes_short_lines_that_repeat(spark, tmp_path):
+    wide = "".join(chr(0x4E00 + i * 7) for i in range(60))
+    texts = ["Read more\n\nChapter 12", f"read  more\n \nChapter 13\n{wide}", f"OK\n{wide[:30]}x{wide[31:]}\nok\nRead more"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in queries.QUERIES["op10_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (texts[0], 0), 1: (f" \nChapter 13\n{wide}", 1), 2: ("OK", 3)}

@@ -135,7 +135,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_fuzzy_line_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), min_words=1)
     return out.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"))
 
 
