@@ -29,6 +29,31 @@ def test_markup_that_states_its_branches(page, text):
     assert html.main_text("host", page, {}, {}) == text
 
 
+TEXT = "The story has many words of its own and they are most of the page."
+WHOLE = [
+    f"<html><body class='has-sidebar'><p>{TEXT}</p></body></html>",
+    f"<body class='no-sidebar search'><article>{TEXT}</article></body>",
+    f"<body><main class='content with-sidebar'>{TEXT}</main></body>",
+    f"<article class='post share-enabled'>{TEXT}</article>",
+    f"<div class='search-layout social'><div><p>{TEXT}</p></div></div><div class='related'>more</div>",
+    f"<div id='alert-wrap'><article>{TEXT}</article></div><div><p>{'other words ' * 8}</p></div>",
+    f"<body><form action='x.aspx'><div class='menu'>Home</div><p>{TEXT}</p><select><option>x</select></form></body>",
+    f"<html><head><title>t</title><meta charset=x><body><p>{TEXT}</p></body></html>",
+    f"<head><title>t</title>{TEXT}",
+    f"<div>{TEXT}</div><aside><article>Not this one</article></aside>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+def test_words_and_forms_do_not_empty_a_page(page):
+    assert html.main_text("host", page, {}, {}) == TEXT
+
+
+def test_noise_inside_a_page_goes():
+    page = f"<main><p>{TEXT}</p><div class='comment-list'><article>{TEXT * 3}</article></div><div class='main-menu'>x</div></main>"
+    assert html.main_text("host", page, {}, {}) == TEXT
+
+
 def test_entropy_removes_what_pages_of_a_host_repeat(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div><span>Home Products About</span></div><div><p>Story {i} of its own words {i * 7}</p></div><div>All rights</div></body>") for i in range(30)]
     pages += [(100, "http://single.example/", "<body><div>Home Products About</div><div><p>Only page</p></div></body>")]

@@ -11,6 +11,9 @@ are removed with all below them. Nodes on one page only are worth 1.
 Where markup states what a branch is, its worth is given: 0 for navigation, asides, footers, forms,
 scripts and whatever class, id or role calls an advert, menu, notice, comment and so on; 1 for the
 article or main landmark, beside which all else on the page is worth 0. The outermost landmarks count.
+Words do not settle html, body and main, nor article unless one is a whole class. Words and a form do not settle
+an element that holds most of the page's text (comments apart), or a good part of it in a landmark if no landmark
+is outside of such elements.
 
 Statistics count different pages (by MD5), so copies of a page don't make its text repeated.
 
@@ -56,10 +59,19 @@ NOISE = frozenset(
     " contentinfo complementary search alert alerts".split()
 )
 HEADERS = frozenset({"header", "topbar", "site-header", "banner"})
+# These may be longer than what they are about.
+TALK = frozenset("comment comments disqus respond replies".split())
+# Forms may wrap a page.
+WRAPPING = frozenset({"form", "fieldset"})
+# What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("title base link meta style script noscript template bgsound basefont head".split())
+# Shares of a page's text from which on an element is not noise, and from which on landmarks in one are none.
+MOST, PART = 0.5, 0.25
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _RAW_END = {t: re.compile(rf"<(/)({t})([\s/][^>]*)?>", re.I) for t in RAW}
+_LAYOUT = re.compile(r"^(?:has|no|with|without|is|not)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LINK = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -70,24 +82,31 @@ def host(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "worth", "children", "length", "value", "landmark", "silent")
+    __slots__ = ("tag", "path", "parent", "worth", "children", "length", "value", "landmark", "silent", "firm", "talk")
 
     def __init__(self, tag: str, path: int, parent: Node | None, worth: int | None, landmark: bool):
         self.tag, self.path, self.parent, self.worth, self.landmark = tag, path, parent, worth, landmark
         self.children: list[str] = []
         self.length = self.value = 0.0
         self.silent = worth == 0 or (parent is not None and parent.silent)
+        self.firm = self.talk = False
 
 
-def _attributes(text: str) -> tuple[str, set[str], bool]:
-    """The style name of a start tag, the words in it, and whether it is a landmark."""
+def _attributes(tag: str, text: str) -> tuple[str, set[str], bool]:
+    """The style name of a start tag, the words in it that say what it is, and whether it is a landmark."""
     if "=" not in text:
         return "", set(), False
     found = {}
     for name, a, b, c in _NAMES.findall(text):
         found.setdefault(name.lower(), a or b or c)
     style = ".".join(v for k, v in sorted(found.items()) if k != "itemprop")
-    words = {w.lower() for w in _WORD.findall(" ".join(v for k, v in found.items() if k != "itemprop"))}
+    tokens = [t for k, v in found.items() if k != "itemprop" for t in v.split() if not _LAYOUT.match(t)]
+    if tag in ("html", "body", "main") or found.get("role", "").lower() == "main":
+        words = set()
+    elif tag == "article":
+        words = {t.lower() for t in tokens}
+    else:
+        words = {w.lower() for w in _WORD.findall(" ".join(tokens))}
     landmark = found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
     return style, words, landmark
 
@@ -96,15 +115,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
     """The elements of a page in order, and its blocks of text with the element that holds them."""
     root = Node("", 0, None, None, False)
     nodes, blocks, now, here, end = [], [], root, [], 0
-    holder = root
     styles: dict[tuple, tuple] = {}
 
     def flush():
         nonlocal here
         if here:
-            text = " ".join(entities.unescape("".join(here)).split())
-            if text:
-                blocks.append((text, holder))
+            blocks.append(here)
             here = []
 
     raw = ""
@@ -115,10 +131,10 @@ def parse(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         else:
             m = _TAG.search(html, end)
             shown = html[end : m.start() if m else len(html)]
-            if shown and not now.silent:
-                if not here:
-                    holder = now
-                here.append(shown)
+            if now.tag == "head" and shown.strip():
+                now = now.parent
+            if shown and not now.firm:
+                here.append((shown, now))
         if m is None:
             break
         end = m.end()
@@ -136,6 +152,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
             continue
         if tag in BLOCKS:
             flush()
+        if now.tag == "head" and tag not in IN_HEAD:
+            now = now.parent
         if tag in ENDS_P:
             node = now
             while node is not root and node.tag != "p" and (node.tag not in BLOCKS):
@@ -153,11 +171,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
             continue
         key = (tag, m[3])
         if key not in styles:
-            styles[key] = _attributes(m[3])
+            styles[key] = _attributes(tag, m[3])
         style, words, landmark = styles[key]
         landmark = landmark or tag in ("article", "main")
         worth = 0 if tag in DROPPED or words & NOISE or tag in RAW else None
-        node = Node(tag, xxhash.xxh3_64_intdigest(f"{now.path}/{tag}.{style}"), now, worth, landmark and worth is None)
+        node = Node(tag, xxhash.xxh3_64_intdigest(f"{now.path}/{tag}.{style}"), now, worth, landmark)
+        # Nothing that is found on the page later gives a firm element back.
+        node.firm = now.firm or tag in RAW or (tag in DROPPED and tag not in WRAPPING)
+        node.talk = bool(words & TALK)
         if node.worth is None and not landmark and (tag == "header" or words & HEADERS):
             node.worth = -1  # a header is noise outside of a landmark only
         nodes.append(node)
@@ -165,7 +186,39 @@ def parse(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
         if tag in RAW:
             raw = tag
     flush()
-    return nodes, blocks
+    _settle(nodes, blocks)
+    out = []
+    for pieces in blocks:
+        pieces = [(t, n) for t, n in pieces if not n.silent]
+        text = " ".join(entities.unescape("".join(t for t, _ in pieces)).split())
+        if text:
+            out.append((text, pieces[0][1]))
+    return nodes, out
+
+
+def _settle(nodes: list[Node], blocks: list[list[tuple[str, Node]]]) -> None:
+    """Give back elements that their words or a form would make noise but that hold the page; settle silence and landmarks."""
+    sizes: dict[int, int] = {}
+    total = 0
+    for pieces in blocks:
+        for text, node in pieces:
+            n = len("".join(text.split()))
+            total += n
+            while node is not None:
+                sizes[id(node)] = sizes.get(id(node), 0) + n
+                node = node.parent
+    for node in nodes:
+        if node.worth is not None and not node.firm and not node.talk and sizes.get(id(node), 0) > MOST * total:
+            node.worth = None
+    if not any(n.landmark and _open(n) for n in nodes):
+        for node in nodes:
+            if node.landmark and not node.firm and sizes.get(id(node), 0) > PART * total:
+                while node is not None:
+                    node.worth = None
+                    node = node.parent
+    for node in nodes:
+        node.silent = node.worth == 0 or node.parent.silent
+        node.landmark = node.landmark and node.worth is None and not node.silent
 
 
 def _key(*parts) -> int:
@@ -200,7 +253,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def main_text(site: str, html: str, presented: dict[int, tuple[float, float]], repeated: dict[int, float]) -> str:
     """The text of a page. ``presented``: (pages, worth) by node; ``repeated``: pages by text."""
     nodes, blocks = parse(html)
-    marked = any(n.landmark for n in nodes)
+    marked = any(n.landmark and _open(n) for n in nodes)
     for text, holder in blocks:
         pages = presented.get(_key(site, holder.path), (1, 1.0))[0]
         k = repeated.get(_key(site, holder.path, text), 1)
