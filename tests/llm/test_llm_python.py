@@ -65,6 +65,15 @@ def test_entropy_removes_what_pages_of_a_host_repeat(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_entropy_decides_inside_landmarks_too(spark):
+    inner = "<div class='zq{i} x'><p>Read this on our site every day</p></div>"
+    pages = [(i, f"http://h.example/{i}", f"<body class='p{i}'><article id='post-{i}'><h1 id='a{'b' * i}'>Title {i * 3}</h1><div id='c-{i}'><p>Story {i} of its own</p></div>{inner.format(i=i)}</article></body>") for i in range(30)]
+    pages += [(100 + i, f"http://two.example/{i}", f"<main><p>Shared by two</p><p>Own {i}</p></main>") for i in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: f"Title {i * 3}\nStory {i} of its own" for i in range(30)} | {100 + i: f"Shared by two\nOwn {i}" for i in range(2)}
+
+
 def test_copies_of_a_page_do_not_make_its_text_repeated(spark):
     pages = [(i, "http://h.example/a", "<body><div><p>The same page in many copies</p></div></body>") for i in range(50)]
     pages += [(90, "http://h.example/b", "<body><div><p>Another one</p></div></body>")]

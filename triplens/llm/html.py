@@ -1,7 +1,7 @@
 """Main text of pages by a site style tree: same-host DOMs merged, entropy decides what a branch is worth.
 
 The pages of a host are merged into one tree whose nodes are paths of tags with their classes and
-ids. A node has as presentation the sequences of child tags it has on a page, and as content the texts of its
+ids, without digits and what names a page. A node has as presentation the sequences of child tags it has on a page, and as content the texts of its
 blocks. Over the m pages of a host that have a node, its presentation is worth the entropy of its
 sequences (logarithms to base m), and a text found on k of them is worth 1 - log_m(k): what every
 page repeats is worth 0, what one page has is worth 1. A branch of a page is worth a mixture of
@@ -11,7 +11,8 @@ are removed with all below them. Nodes on one page only are worth 1.
 Where markup states what a branch is, its worth is given: 0 for navigation, asides, footers, forms,
 scripts and whatever class, id or role calls an advert, menu, notice, comment and so on; 1 for the
 article or main landmark, beside which all else on the page is worth 0. The outermost landmarks count.
-Words do not settle html, body and main, nor article unless one is a whole class. Words and a form do not settle
+Inside a landmark branches need the same worth, but there a text counts as if PRIOR more pages had the node without it,
+so what a few pages share stays and what every page repeats goes. Words do not settle html, body and main, nor article unless one is a whole class. Words and a form do not settle
 an element that holds most of the page's text (comments apart), or a good part of it in a landmark if no landmark
 is outside of such elements.
 
@@ -39,6 +40,8 @@ from triplens.llm.common import small, stored
 
 THRESHOLD = 0.2
 MIXTURE = 0.9
+# Pages that a landmark adds to those of a node.
+PRIOR = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Their text is never shown as text; what follows up to the end tag is not markup.
@@ -71,6 +74,8 @@ MOST, PART = 0.5, 0.25
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
 _RAW_END = {t: re.compile(rf"<(/)({t})([\s/][^>]*)?>", re.I) for t in RAW}
+# Numbers and hexadecimal names differ from page to page.
+_OWN = re.compile(r"\b(?=[a-f]*[0-9])[0-9a-f]{8,}\b|[0-9]+", re.I)
 _LAYOUT = re.compile(r"^(?:has|no|with|without|is|not)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _LINK = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -99,7 +104,9 @@ def _attributes(tag: str, text: str) -> tuple[str, set[str], bool]:
     found = {}
     for name, a, b, c in _NAMES.findall(text):
         found.setdefault(name.lower(), a or b or c)
-    style = ".".join(v for k, v in sorted(found.items()) if k != "itemprop")
+    # The whole page and its landmarks are one node on all pages; ids of headings are anchors.
+    whole = tag in ("html", "body", "main", "article")
+    style = "" if whole else ".".join(_OWN.sub("", v) for k, v in sorted(found.items()) if k != "itemprop" and (k, tag[:1], tag[1:].isdigit()) != ("id", "h", True))
     tokens = [t for k, v in found.items() if k != "itemprop" for t in v.split() if not _LAYOUT.match(t)]
     if tag in ("html", "body", "main") or found.get("role", "").lower() == "main":
         words = set()
@@ -254,10 +261,14 @@ def main_text(site: str, html: str, presented: dict[int, tuple[float, float]], r
     """The text of a page. ``presented``: (pages, worth) by node; ``repeated``: pages by text."""
     nodes, blocks = parse(html)
     marked = any(n.landmark and _open(n) for n in nodes)
+    opened: dict[int, bool] = {}
+    for node in nodes:  # whether a node is inside a landmark that counts
+        opened[id(node)] = (node.parent.parent is not None and opened[id(node.parent)]) or (node.landmark and _open(node))
     for text, holder in blocks:
         pages = presented.get(_key(site, holder.path), (1, 1.0))[0]
         k = repeated.get(_key(site, holder.path, text), 1)
-        worth = 1.0 if pages <= 1 or k <= 1 else max(0.0, 1 - float(np.log(k) / np.log(max(pages, k))))
+        most = max(pages, k) + (PRIOR if opened.get(id(holder)) else 0)
+        worth = 1.0 if pages <= 1 or k <= 1 else max(0.0, 1 - float(np.log(k) / np.log(most)))
         node = holder
         while node is not None:
             node.length += len(text)
@@ -273,8 +284,8 @@ def main_text(site: str, html: str, presented: dict[int, tuple[float, float]], r
             inside = marked and above
             if node.silent or (node.worth == -1 and not inside):
                 keep[id(node)] = False
-            elif marked:
-                keep[id(node)] = above or (node.landmark and _open(node.parent))
+            elif marked and not above:
+                keep[id(node)] = node.landmark and _open(node.parent) and not opened.get(id(node.parent))
             else:
                 shown = presented.get(_key(site, node.path), (1, 1.0))[1]
                 worth = (1 - MIXTURE) * shown + MIXTURE * (node.value / node.length if node.length else 1.0)
