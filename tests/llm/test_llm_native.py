@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from triplens.llm import lines, mixing, quality, queries, shards
+from triplens.llm import common, lines, mixing, quality, queries, shards
 
 LONG = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) for i in range(6))
 NASTY = [None, "", " \n\t ", "a", LONG, LONG, "x\x0by\x0cz\rw", "é ü   b", "a b c " * 40, "line one here\n" * 30, "w " * 3000]
@@ -199,3 +199,11 @@ def test_the_query_removes_short_lines_that_repeat(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.text, r.n_removed) for r in queries.QUERIES["op10_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {0: (texts[0], 0), 1: (f" \nChapter 13\n{wide}", 1), 2: ("OK", 3)}
+
+
+def test_arrays_are_broadcast_by_their_elements(spark, monkeypatch):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "k int, found array<int>")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.small(df, array="found"))
+    monkeypatch.setattr(common, "BROADCAST_ELEMENTS", 3)
+    assert not hinted(common.small(df, array="found")) and hinted(common.small(df))

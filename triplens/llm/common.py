@@ -42,9 +42,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a stored side for broadcast if a count shows that it is small; else the planner decides."""
-    return F.broadcast(df) if df.count() <= rows else df
+# A side of arrays may be broadcast if they have at most this many elements of a few dozen bytes.
+BROADCAST_ELEMENTS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, array: str | None = None) -> DataFrame:
+    """Mark a stored side for broadcast if a count shows that it is small; else the planner decides.
+
+    ``array`` names a column whose elements count too: rows alone don't bound its bytes.
+    """
+    if array is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(array)), F.lit(0)).alias("m")).first()
+    return F.broadcast(df) if found.n <= rows and found.m <= BROADCAST_ELEMENTS else df
 
 
 def words(text: Column) -> Column:

@@ -320,7 +320,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
     worth = stored(shown.unionByName(repeated), "worth")
     found = seen.select("page", "key").join(small(worth), "key").distinct().groupBy("page").agg(F.collect_list(F.struct("key", "m", "worth")).alias("found"))
     found = stored(found, "branches")
-    joined = rows.select("*", digest.alias("page")).join(small(found), "page", "left").drop("page")
+    joined = rows.select("*", digest.alias("page")).join(small(found, array="found"), "page", "left").drop("page")
     kinds = dict(joined.dtypes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
