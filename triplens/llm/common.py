@@ -28,18 +28,43 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Shuffle files go as soon as the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, path: str):
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return java, java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is read more than once as Parquet in the shared folder and read it back.
 
     Lineage ends there, so a lost executor costs a read and not a recomputation, and each reader
-    takes only the columns it needs. The files are removed when the session ends.
+    takes only the columns it needs. The write's shuffle files go at once; the table goes with
+    ``released`` or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(java)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    java, files = _path(spark, path)
+    files.deleteOnExit(java)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            java, files = _path(table.sparkSession, table.stored_at)
+            files.delete(java, True)
 
 
 # A side of arrays may be broadcast if they have at most this many elements of a few dozen bytes.
@@ -85,7 +110,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         joined = large.join(low, large.a == low.n)
         pairs = joined.select(F.inline(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        now = stored(pairs.where(F.col("a") != F.col("b")).distinct(), "stars")
+        last, now = now, stored(pairs.where(F.col("a") != F.col("b")).distinct(), "stars")
+        released(last)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if before is not None and (state.n, state.h) == before:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import bpe, html, lines, minhash, mixing, quality, shards, tokens, toxicity, vectors
+from triplens.llm import bpe, html, lines, minhash, mixing, quality, shallot, shards, tokens, toxicity, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,34 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = tokens.section_tokens(table(spark, folder, "documents"), *tokens.vocabulary())
     return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def _clustered(k: int, rounds: int) -> str:
+    """SQL that assigns every vector to the nearest centroid, round by round."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    parts = [
+        """
+v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x, row_number() OVER () AS r FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, 'null')), x) - 1 AS c, x FROM v QUALIFY c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT r, v.vec_id, v.x, c.c, {distance} AS d FROM v CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{i} CROSS JOIN range(1, 65) t(i) GROUP BY c, i)")
+            parts.append(f"m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{i} GROUP BY c)")
+            parts.append(f"c{i + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c)")
+    return f"""WITH {", ".join(p + "" for p in parts)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c"""
+
+
+@query("op11_shallot_clusters", _clustered(shallot.CLUSTERS, shallot.ROUNDS))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return shallot.clusters(table(spark, folder, "embeddings"))
+
+
+@query("op12_chebyshev_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
