@@ -20,4 +20,4 @@ def test_query_equals_sql(spark, folder, con, name):
 
 def test_one_query_for_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 13))
+    assert sorted(numbers) == list(range(1, 14))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplens.llm import bpe, html, lines, minhash, mixing, quality, shallot, shards, tokens, toxicity, vectors, whitening
+from triplens.llm import bpe, html, lines, minhash, mixing, quality, shallot, shards, suffixes, tokens, toxicity, vectors, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_chebyshev_whitening")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_prefix_doubling")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
