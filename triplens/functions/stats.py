@@ -21,6 +21,23 @@ from triplens.sources.shared import shared_folder
 FEW_VALUES = 1_000_000
 
 
+# The column of counted rows that says how many rows each stands for.
+ROWS = "_rows"
+
+
+def counted(df: DataFrame) -> list[str]:
+    """The column of counts, if the rows are counted ones."""
+    return [ROWS] if ROWS in df.columns else []
+
+
+def how_many(df: DataFrame, test: Column | None = None) -> Column:
+    """How many rows there are (for which ``test`` holds), of plain or of counted rows."""
+    if not counted(df):
+        return F.count("*") if test is None else F.count_if(test)
+    n = F.col(ROWS)
+    return F.coalesce(F.sum(n if test is None else F.when(test, n)), F.lit(0))
+
+
 def value_counts(df: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """(by.., variable, value, n) for several measures in one pass; null values are counted too."""
     pairs = F.array(

@@ -25,7 +25,8 @@ from triplens.functions.expressions import (
     total_gap,
 )
 from triplens.functions.stats import (
-    value_counts,
+    counted,
+    how_many,
     weighted_count,
     weighted_mean,
     weighted_median,
@@ -126,7 +127,7 @@ def add_discrepancy_bands(df: DataFrame) -> DataFrame:
 
 
 def gap_counts(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy(*by, GAP).agg(F.count("*").alias("n"))
+    return df.groupBy(*by, GAP).agg(how_many(df).alias("n"))
 
 
 def summarise_gaps(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -180,7 +181,7 @@ def discrepancy_buckets(df: DataFrame) -> DataFrame:
     position = F
     for i, name in enumerate(names):
         position = position.when(F.col("band") == name, i)
-    counts = df.groupBy(gap_band().alias("band")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(gap_band().alias("band")).agg(how_many(df).alias("n"))
     off = F.when(F.col("band") != names[0], F.col("n")).otherwise(0)
     return (
         counts.withColumns({"position": position, "off": off})
@@ -197,12 +198,12 @@ def discrepancy_buckets(df: DataFrame) -> DataFrame:
 
 
 def discrepancy_signs(df: DataFrame) -> DataFrame:
-    counts = df.groupBy(gap_sign().alias("sign")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(gap_sign().alias("sign")).agg(how_many(df).alias("n"))
     return counts.withColumn("pct", share_of_all("n")).orderBy(F.desc("n"), "sign")
 
 
 def discrepancy_by(df: DataFrame, key: Column, name: str) -> DataFrame:
-    return summarise_gaps(df.select(key.alias(name), GAP), [name])
+    return summarise_gaps(df.select(key.alias(name), GAP, *counted(df)), [name])
 
 
 def by_payment(df: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def policy_era(policy_date: str = S.POLICY_DATE) -> Column:
 
 def modal_values_by(df: DataFrame, key: Column, name: str, k: int) -> DataFrame:
     """The k most frequent gaps of the medium band per group; ties are cut, smaller gap first."""
-    counts = gap_counts(_medium(df).select(key.alias(name), GAP), name)
+    counts = gap_counts(_medium(df).select(key.alias(name), GAP, *counted(df)), name)
     order = Window.partitionBy(name).orderBy(F.desc("n"), GAP)
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -323,12 +324,20 @@ def modal_values_by_era(df: DataFrame, k: int = 10) -> DataFrame:
     return modal_values_by(df, policy_era(), "era", k)
 
 
-def medium_band_eras(df: DataFrame) -> DataFrame:
-    era = policy_era()
+def medium_band_eras(df: DataFrame, era: Column | None = None) -> DataFrame:
+    era = policy_era() if era is None else era
     return _medium(df).agg(
-        F.count("*").alias("rows_in_band"),
-        F.count_if(era == "pre_cbd").alias("pre_cbd"),
-        F.count_if(era == "post_cbd").alias("post_cbd"),
+        how_many(df).alias("rows_in_band"),
+        how_many(df, era == "pre_cbd").alias("pre_cbd"),
+        how_many(df, era == "post_cbd").alias("post_cbd"),
+    )
+
+
+def gaps_from(df: DataFrame, least: Column) -> DataFrame:
+    """The discrepant rows whose gap has at least a given size."""
+    rows = df.where(has_gap()).withColumn("abs_discrepancy", F.abs(GAP))
+    return rows.where(F.col("abs_discrepancy") >= least).select(
+        S.ID, S.PICKUP, S.VENDOR, S.PAYMENT, S.FARE, S.TIP, S.TOTAL, GAP, "expected_discrepancy"
     )
 
 
@@ -337,12 +346,9 @@ def top_gaps(df: DataFrame, n: int = 20) -> DataFrame:
 
     The n-th largest size comes from a top-n and filters the table: no global sort or window.
     """
-    rows = df.where(has_gap()).withColumn("abs_discrepancy", F.abs(GAP))
-    top = rows.select("abs_discrepancy").orderBy(F.desc("abs_discrepancy")).limit(n)
-    last = top.agg(F.min("abs_discrepancy").alias("last")).scalar()
-    return rows.where(F.col("abs_discrepancy") >= last).select(
-        S.ID, S.PICKUP, S.VENDOR, S.PAYMENT, S.FARE, S.TIP, S.TOTAL, GAP, "expected_discrepancy"
-    )
+    sizes = df.where(has_gap()).select(F.abs(GAP).alias("abs_discrepancy"))
+    top = sizes.orderBy(F.desc("abs_discrepancy")).limit(n)
+    return gaps_from(df, top.agg(F.min("abs_discrepancy").alias("last")).scalar())
 
 
 def rate_changed() -> Column:
@@ -352,7 +358,7 @@ def rate_changed() -> Column:
 def rate_changed_crosstab(df: DataFrame) -> DataFrame:
     counts = df.groupBy(
         rate_changed().alias("rate_changed"), has_gap().alias("has_discrepancy")
-    ).agg(F.count("*").alias("n"))
+    ).agg(how_many(df).alias("n"))
     return counts.withColumn("pct_within", share_of_all("n", "rate_changed")).orderBy(
         "rate_changed", "has_discrepancy"
     )
@@ -367,9 +373,9 @@ def rate_changed_pairs(df: DataFrame) -> DataFrame:
         df.where(rate_changed())
         .groupBy(S.RATE, "implied_rate")
         .agg(
-            F.count("*").alias("trips"),
-            F.count_if(has_gap()).alias("discrepant"),
-            share(F.count_if(has_gap()), F.count("*")).alias("pct_discrepant"),
+            how_many(df).alias("trips"),
+            how_many(df, has_gap()).alias("discrepant"),
+            share(how_many(df, has_gap()), how_many(df)).alias("pct_discrepant"),
         )
     )
     return counts.orderBy(F.desc("trips"), S.RATE, "implied_rate")
@@ -382,8 +388,11 @@ def discrepancy_zone_top(
     min_trips: int = 100,
     n: int = 20,
 ) -> DataFrame:
-    """Zones with enough trips, the highest by count or by rate; a tie goes to the lower zone."""
-    zones = summarise_gaps(good_clocks(df), [zone]).drop("mean_gap")
+    """Zones with enough trips, the highest by count or by rate; a tie goes to the lower zone.
+
+    Counted rows are those of good clocks already.
+    """
+    zones = summarise_gaps(df if counted(df) else good_clocks(df), [zone]).drop("mean_gap")
     return (
         zones.where(F.col("trips") >= min_trips)
         .orderBy(F.desc(order_by), F.asc_nulls_last(zone))
@@ -391,24 +400,26 @@ def discrepancy_zone_top(
     )
 
 
-def congestion_match(df: DataFrame, zones: Sequence[int] = S.GAP_ZONES) -> DataFrame:
+def _picked_up_in(df: DataFrame, zones: Sequence[int] | None) -> DataFrame:
+    """Rows of the given pickup zones; None if the rows were chosen already."""
+    return df if zones is None else df.where(F.col(S.PU).isin(*zones))
+
+
+def congestion_match(df: DataFrame, zones: Sequence[int] | None = S.GAP_ZONES) -> DataFrame:
     """Is the gap on discrepant rows just the congestion surcharge?"""
     match = F.abs(F.col(GAP) - F.col(S.CONGESTION)) < money("0.01")
-    rows = df.where(F.col(S.PU).isin(*zones) & has_gap())
-    return rows.agg(
-        F.count("*").alias("discrepant"),
-        F.count_if(match).alias("matching"),
-        share(F.count_if(match), F.count("*")).alias("pct_matching"),
+    return _picked_up_in(df, zones).where(has_gap()).agg(
+        how_many(df).alias("discrepant"),
+        how_many(df, match).alias("matching"),
+        share(how_many(df, match), how_many(df)).alias("pct_matching"),
     )
 
 
-def congestion_inverse(df: DataFrame, zones: Sequence[int] = S.GAP_ZONES) -> DataFrame:
+def congestion_inverse(df: DataFrame, zones: Sequence[int] | None = S.GAP_ZONES) -> DataFrame:
     """Do discrepant rows differ from the others in being charged the surcharge at all?"""
-    rows = df.where(F.col(S.PU).isin(*zones)).select(
-        has_gap().alias("has_discrepancy"), F.coalesce(F.col(S.CONGESTION), money(0)).alias("fee")
-    )
-    counts = value_counts(rows, ["has_discrepancy"], {"fee": F.col("fee")})
-    value, n = F.col("value"), F.col("n")
+    fee = F.coalesce(F.col(S.CONGESTION), money(0))
+    counts = _picked_up_in(df, zones).groupBy(has_gap().alias("has_discrepancy"), fee.alias("fee")).agg(how_many(df).alias("n"))
+    value, n = F.col("fee"), F.col("n")
     return counts.groupBy("has_discrepancy").agg(
         F.sum("n").alias("trips"),
         share(weighted_count(value == 0, n), F.sum("n")).alias("pct_zero_surcharge"),
@@ -417,8 +428,7 @@ def congestion_inverse(df: DataFrame, zones: Sequence[int] = S.GAP_ZONES) -> Dat
     )
 
 
-def congestion_vendor(df: DataFrame, zones: Sequence[int] = S.GAP_ZONES) -> DataFrame:
-    rows = df.where(F.col(S.PU).isin(*zones) & has_gap())
+def congestion_vendor(df: DataFrame, zones: Sequence[int] | None = S.GAP_ZONES) -> DataFrame:
     vendor = L.label(S.VENDOR, L.SHORT_VENDOR, "Other").alias("vendor")
-    counts = rows.groupBy(vendor).agg(F.count("*").alias("n"))
+    counts = _picked_up_in(df, zones).where(has_gap()).groupBy(vendor).agg(how_many(df).alias("n"))
     return counts.withColumn("pct", share_of_all("n")).orderBy(F.desc("n"), "vendor")

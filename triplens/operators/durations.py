@@ -141,14 +141,16 @@ def neg_duration_by_vendor(df: DataFrame) -> DataFrame:
     return rows.join(_medians(counts, "vendor"), "vendor", "left").orderBy(F.desc("negative"), "vendor")
 
 
+def examples_to(df: DataFrame, last: Column) -> DataFrame:
+    """The negative durations up to a given number of seconds."""
+    rows = ts_flags(df).where((seconds() < 0) & (seconds() <= last))
+    return rows.select(S.ID, "vendor", S.PICKUP, S.DROPOFF, "duration_mins", S.FARE, S.TOTAL, S.PAYMENT)
+
+
 def neg_duration_examples(df: DataFrame, n: int = 5) -> DataFrame:
     """The n most negative durations with all ties of the last one kept."""
-    rows = ts_flags(df).where(seconds() < 0)
-    top = rows.select("duration_mins").orderBy("duration_mins").limit(n)
-    last = top.agg(F.max("duration_mins").alias("last")).scalar()
-    return rows.where(F.col("duration_mins") <= last).select(
-        S.ID, "vendor", S.PICKUP, S.DROPOFF, "duration_mins", S.FARE, S.TOTAL, S.PAYMENT
-    )
+    top = df.select(seconds().alias("seconds_")).where(F.col("seconds_") < 0).orderBy("seconds_").limit(n)
+    return examples_to(df, top.agg(F.max("seconds_").alias("last")).scalar())
 
 
 def zero_duration_headline(df: DataFrame) -> DataFrame:

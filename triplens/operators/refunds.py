@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from triplens import schema as S
 from triplens.functions import labels as L
 from triplens.functions.expressions import either, in_long_form, share, share_of_all
-from triplens.functions.stats import value_counts, weighted_mean, weighted_median
+from triplens.functions.stats import how_many, value_counts, weighted_mean, weighted_median
 from triplens.operators.duplicates import flag_rows
 from triplens.operators.neighbours import dispute_rows, refund_rows
 from triplens.sources.shared import broadcast_if_small, pin
@@ -43,36 +43,39 @@ def negative_total(df: DataFrame) -> DataFrame:
 
 def negative_vs_refund(flagged: DataFrame) -> DataFrame:
     return flagged.agg(
-        F.count_if(F.col(REFUND)).alias("refund_rows"),
-        F.count_if(F.col(NEGATIVE) & F.col(REFUND)).alias("negative_in_refund"),
-        F.count_if(F.col(NEGATIVE) & ~F.col(REFUND)).alias("negative_outside"),
+        how_many(flagged, F.col(REFUND)).alias("refund_rows"),
+        how_many(flagged, F.col(NEGATIVE) & F.col(REFUND)).alias("negative_in_refund"),
+        how_many(flagged, F.col(NEGATIVE) & ~F.col(REFUND)).alias("negative_outside"),
     )
 
 
-def refund_sides(flagged: DataFrame) -> DataFrame:
+def side() -> Column:
     # Names of the sides.
-    side = (
+    return (
         F.when(F.col(S.TOTAL) < 0, "Negative (void)")
         .when(F.col(S.TOTAL) >= 0, "Positive (charge)")
         .otherwise("NA/zero")
     )
-    counts = flagged.where(REFUND).groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+def refund_sides(flagged: DataFrame) -> DataFrame:
+    counts = flagged.where(REFUND).groupBy(side().alias("side")).agg(F.count("*").alias("n"))
     return counts.withColumn("pct", share_of_all("n")).orderBy("side")
 
 
-def _split(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    counts = rows.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
+def split(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    counts = rows.groupBy(key.alias(name)).agg(how_many(rows).alias("n"))
     return counts.withColumn("pct", share_of_all("n")).orderBy(F.desc("n"), name)
 
 
 def negative_by_payment(df: DataFrame) -> DataFrame:
     payment = L.label(S.PAYMENT, L.STUDY_PAYMENT, "Other")
-    return _split(df.where(any_negative()), payment, "payment")
+    return split(df.where(any_negative()), payment, "payment")
 
 
 def negative_by_vendor(df: DataFrame) -> DataFrame:
     vendor = L.label(S.VENDOR, L.STUDY_VENDOR, "Other")
-    return _split(df.where(any_negative()), vendor, "vendor")
+    return split(df.where(any_negative()), vendor, "vendor")
 
 
 def _orphans(flagged: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def orphan_negatives(flagged: DataFrame) -> DataFrame:
 
 
 def orphan_by_payment(flagged: DataFrame) -> DataFrame:
-    return _split(_orphans(flagged), L.label(S.PAYMENT, L.STUDY_PAYMENT, "Other"), "payment")
+    return split(_orphans(flagged), L.label(S.PAYMENT, L.STUDY_PAYMENT, "Other"), "payment")
 
 
 def negative_by_column_split(flagged: DataFrame, cols: Sequence[str] = S.MONEY) -> DataFrame:

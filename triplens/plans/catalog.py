@@ -22,7 +22,7 @@ from triplens.operators import refunds as R
 from triplens.operators import rules as Q
 from triplens.operators import zones as Z
 from triplens.plans import cleaning as K
-from triplens.plans import reports
+from triplens.plans import reports, summaries
 from triplens.sources import readers, writers
 from triplens.sources.derived import stored, trips, zones
 from triplens.sources.shared import new_path
@@ -169,6 +169,26 @@ def _saved_report(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def _study(build: Callable[[SparkSession, str], dict[str, DataFrame]], write: Callable = writers.save_report) -> Query:
+    """The cells of all tables of a set that was written and read back."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "tables")
+        write(build(spark, folder), path)
+        return reports.all_cells(readers.read_tables(spark, path))
+
+    return run
+
+
+def _discrepancy_study(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    tables = reports.discrepancy_study(trips(spark, folder))
+    return {**tables, "overall": with_rounding(tables["overall"])}
+
+
+def _negative_study(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return reports.negative_study(trips(spark, folder), K.of_kind(removal_sets(spark, folder), K.PAIRS))
+
+
 # --- operators that need more than one table
 
 
@@ -223,6 +243,10 @@ QUERIES: dict[str, Query] = {
     "write_zone_agg": _round_trip_zone_agg,
     "write_read_summary": _round_trip_summary,
     "save_report": _saved_report,
+    "save_discrepancy_study": _study(_discrepancy_study),
+    "save_negative_study": _study(_negative_study),
+    "save_duration_study": _study(lambda spark, folder: reports.duration_study(trips(spark, folder))),
+    "write_read_summaries": _study(lambda spark, folder: summaries.summaries(cleaned(spark, folder)), writers.write_summaries),
     # profile
     "table_shape": _raw(P.table_shape),
     "column_types": _raw(P.column_types),

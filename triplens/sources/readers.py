@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triplens import schema as S
+from triplens.sources.writers import MANIFEST
 
 ZONE_SCHEMA = T.StructType(
     [
@@ -62,3 +65,16 @@ def read_zone_shapes(
 
 def read_summary(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
+
+
+def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """A set of tables as ``write_tables`` has written it, by name; a set without manifest was not written to its end."""
+    folder = folder.rstrip("/")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError(f"{folder} has no manifest: its tables were not all written")
+    entries = spark.read.schema("table_name string, form string, schema string, n_rows bigint").json(f"{folder}/{MANIFEST}").collect()
+    return {
+        e.table_name: spark.read.schema(T.StructType.fromJson(json.loads(e.schema))).option("header", True).format(e.form).load(f"{folder}/{e.table_name}")
+        for e in entries
+    }

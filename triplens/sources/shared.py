@@ -30,9 +30,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Shuffle files go as soon as the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Checkpoint a result that is read more than once. Without a shared folder it stays lazy."""
-    return df if shared_folder(df.sparkSession) is None else df.checkpoint()
+    """Write a result that is read more than once as Parquet and read it back; readers take only their columns.
+
+    Lineage ends there, so a lost executor costs a read. The files go when the session ends. Without a shared
+    folder the result stays lazy.
+    """
+    spark = df.sparkSession
+    if shared_folder(spark) is None:
+        return df
+    path = new_path(spark, "pinned")
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(java)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(pinned: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from triplens import schema as S
@@ -29,7 +29,38 @@ def write_summary(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).csv(path, header=True)
 
 
+MANIFEST = "manifest"
+
+
+def write_tables(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet", mode: str = "errorifexists") -> None:
+    """Write a named set of tables, each a dataset of its own, and last of all the manifest.
+
+    The manifest has each table's name, form, schema and number of rows, counted while it was written. It is taken
+    away before anything is overwritten, so a set whose writing broke off has none and cannot be read.
+    """
+    folder = folder.rstrip("/")
+    spark = next(iter(tables.values())).sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if mode == "overwrite":
+        files.delete(place, True)
+    elif files.exists(place):
+        raise ValueError(f"{folder} already holds a set of tables")
+    entries = []
+    for name, table in tables.items():
+        seen = Observation()
+        counted = table.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode(mode).option("header", True).format(form).save(f"{folder}/{name}")
+        entries.append((name, form, table.schema.json(), seen.get["rows"]))
+    manifest = spark.createDataFrame(entries, "table_name string, form string, schema string, n_rows bigint")
+    manifest.coalesce(1).write.json(f"{folder}/{MANIFEST}")
+
+
 def save_report(tables: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
     """A study is a named set of tables; each becomes one Parquet dataset."""
-    for name, table in tables.items():
-        table.write.mode(mode).parquet(f"{folder.rstrip('/')}/{name}")
+    write_tables(tables, folder, "parquet", mode)
+
+
+def write_summaries(tables: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
+    """The summaries behind figures, each as CSV with a header."""
+    write_tables(tables, folder, "csv", mode)
