@@ -130,7 +130,7 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 def doubled(phrases: DataFrame, longest: int) -> list[DataFrame]:
     """(node, i, rank, bytes) at each level, of the anchors whose next 2^k phrases occur elsewhere; level 0 with the places."""
     classes = ranked(phrases, ["h"])
-    now = phrases.join(small(classes), "h").select("node", "i", "a", "back", "gap", "next", "after", F.col("name").alias("rank"), F.col("gap").alias("bytes"))
+    now = phrases.join(classes, "h").select("node", "i", "a", "back", "gap", "next", "after", F.col("name").alias("rank"), F.col("gap").alias("bytes"))
     now = stored(now, "level")
     released(classes)
     levels = []
@@ -141,7 +141,7 @@ def doubled(phrases: DataFrame, longest: int) -> list[DataFrame]:
         pairs = left.join(right, ["node", "i"]).select("node", "i", "rank", "then", (F.col("bytes") + F.col("more")).alias("bytes"))
         pairs = stored(pairs.where(F.col("bytes") <= longest), "pairs")
         classes = ranked(pairs, ["rank", "then"])
-        now = stored(pairs.join(small(classes), ["rank", "then"]).select("node", "i", F.col("name").alias("rank"), "bytes"), "level")
+        now = stored(pairs.join(classes, ["rank", "then"]).select("node", "i", F.col("name").alias("rank"), "bytes"), "level")
         released(pairs, classes)
     released(now)
     return levels
@@ -289,19 +289,19 @@ def repeated(texts: Texts) -> DataFrame:
     place, outer = F.struct("node", "at"), ["om", "oa", "ob"]
     twice = found.where("om > 0").groupBy(*outer).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select(*outer, "lo")
     twice = stored(twice, "outer")
-    settled = found.join(small(twice), outer, "left").select("node", "p0", "p1", "im", "ia", "ib", F.col("lo").isNull().alias("open"), (place == F.col("lo")).alias("lead"))
+    settled = found.join(twice, outer, "left").select("node", "p0", "p1", "im", "ia", "ib", F.col("lo").isNull().alias("open"), (place == F.col("lo")).alias("lead"))
     settled = stored(settled, "settled")
     released(found, twice)
     inner = ["im", "ia", "ib"]
     asking = settled.where("open or lead").groupBy(*inner).agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open")
     asking = stored(asking.select(*inner, F.monotonically_increasing_id().alias("cls")), "asking")
-    asked = settled.where("open or lead").join(small(asking), inner).groupBy("node").agg(F.collect_list(F.struct("p0", "p1", "cls", F.col("open").cast("int").alias("open"))).alias("ranges"))
+    asked = settled.where("open or lead").join(asking, inner).groupBy("node").agg(F.collect_list(F.struct("p0", "p1", "cls", F.col("open").cast("int").alias("open"))).alias("ranges"))
     asked = stored(asked, "asked")
     hashed = texts.different().join(small(asked, array="ranges"), "node").select("node", F.col("text").cast("binary").alias("text"), "ranges")
     hashed = stored(hashed.mapInArrow(_hashes, "cls bigint, fp bigint, node bigint, p int, open boolean"), "starts")
     released(asking, asked)
     equal = stored(hashed.groupBy("cls", "fp").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("cls", "fp"), "equal")
-    last = hashed.where("open").join(small(equal), ["cls", "fp"], "left_semi").select("node", F.col("p").alias("p0"), F.col("p").alias("p1"))
+    last = hashed.where("open").join(equal, ["cls", "fp"], "left_semi").select("node", F.col("p").alias("p0"), F.col("p").alias("p1"))
     covers = stored(settled.where("not open").select("node", "p0", "p1").unionByName(last), "covers")
     released(hashed, equal, settled)
     spans = stored(by_unit(covers).applyInPandas(_merged, "node bigint, starts array<int>, ends array<int>"), "spans")
