@@ -495,3 +495,42 @@ ORACLES["domain_thresholds"] = query(
         "t",
     )
 )
+
+# --- re-cleaning, footers, orders by other keys, sketches
+ORACLES["rewrite_month"] = ORACLES["write_clean"]
+ORACLES["footer_profile"] = query(
+    stack(
+        [
+            f"'{c}' AS variable, count(*) AS n_rows, {cnt(f'{c} IS NULL')} AS null_count,"
+            f" {pct(cnt(f'{c} IS NULL'), 'count(*)')} AS null_pct"
+            for c in COLUMNS
+        ],
+        "t",
+    )
+)
+ORACLES["footer_ranges"] = query(
+    stack(
+        [
+            f"'{c}' AS variable, min({c})::DOUBLE AS smallest, max({c})::DOUBLE AS largest"
+            for c in ("trip_id", "VendorID", "passenger_count", "trip_distance", "RatecodeID", "PULocationID", "DOLocationID", "payment_type", *MONEY)
+        ],
+        "t",
+    )
+)
+ORACLES["neighbours_in_order"] = query(
+    "SELECT trip_id, tpep_pickup_datetime, passenger_count, total_amount::DOUBLE AS total_amount, "
+    + ", ".join(
+        f"{f}({c}) OVER (ORDER BY passenger_count NULLS FIRST, tpep_pickup_datetime NULLS FIRST, trip_id)::{t} AS {p}_{c}"
+        for f, p in (("lag", "prev"), ("lead", "next"))
+        for c, t in (("trip_id", "BIGINT"), ("total_amount", "DOUBLE"))
+    )
+    + " FROM t"
+)
+# A sketch is right if its quantiles are within the stated error; how many values there are is exact.
+ORACLES["outlier_sketches"] = query(
+    "SELECT variable, prob::DOUBLE AS prob, count(*) AS n, TRUE AS within FROM vals CROSS JOIN"
+    " unnest([0.25, 0.5, 0.75, 0.99, 0.999, 0.9995, 0.9999]) p(prob) GROUP BY variable, prob",
+    "vals AS (SELECT 'trip_distance' AS variable, trip_distance AS v FROM t WHERE trip_distance >= 0"
+    " UNION ALL SELECT 'duration_min', mins FROM t WHERE mins > 0"
+    " UNION ALL SELECT 'total_amount', total_amount::DOUBLE FROM t WHERE total_amount >= 0)",
+)

@@ -113,6 +113,41 @@ def ordered_neighbours(
     return _link(rows, key, list(cols), list(cols), list(used))
 
 
+# Rows that a block of an order by other keys may hold, by a count of the rows.
+BLOCK_ROWS = 1 << 20
+
+
+def neighbours_in_order(
+    df: DataFrame, cols: Sequence[str], order: Sequence[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``prev_<c>`` and ``next_<c>`` for each column, in the order of columns of any type, nulls first.
+
+    Rows are dealt into blocks of about equal size by sampled split points of the order, and the blocks are stored.
+    Each block lacks the row before and after it; these are the last and first rows of the blocks
+    next to it, which are looked up among the ends of the blocks, two rows a block, and join it as guests. The
+    order should tell all rows apart (end it with an id): equal ones are neighbours of each other in no fixed order, and
+    fall into one block.
+    """
+    names = list(dict.fromkeys([*order, *cols]))
+    blocks = max(1, -(-df.count() // block_rows), df.sparkSession.sparkContext.defaultParallelism)
+    held = pin(df.repartitionByRange(blocks, *[F.col(c).asc_nulls_first() for c in order]).withColumn(_BLOCK, F.spark_partition_id()))
+    place, row = F.struct(*order), F.struct(*names)
+    ends = held.groupBy(_BLOCK).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    every = ends.agg(F.array_sort(F.collect_list(F.struct(_BLOCK, "first", "last"))).alias("e"))
+    around = F.transform(
+        "e",
+        lambda x, i: F.struct(
+            x[_BLOCK].alias(_BLOCK),
+            F.array(F.get("e", i - 1)["last"], F.get("e", i + 1)["first"]).alias("guests"),
+        ),
+    )
+    guests = every.select(F.inline(around)).select(_BLOCK, F.explode("guests").alias("g")).where("g is not null")
+    guests = guests.select(_BLOCK, *[F.col(f"g.`{c}`").alias(c) for c in names], F.lit(True).alias(_GUEST))
+    rows = held.withColumn(_GUEST, F.lit(False)).unionByName(guests, allowMissingColumns=True)
+    window = W.partitionBy(_BLOCK).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return _add_lag_lead(rows, window, cols, cols).where(~F.col(_GUEST)).drop(_BLOCK, _GUEST)
+
+
 def _levels_for_pinned(pinned: DataFrame, key: str) -> tuple[int, ...]:
     """No blocks at all for a set that was counted and fits into one."""
     if shared_folder(pinned.sparkSession) is not None and pinned.count() <= 1 << BITS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triplens import schema as S
@@ -33,6 +33,42 @@ def column_types(df: DataFrame) -> DataFrame:
     )
 
 
+def by_footers(spark: SparkSession, path: str) -> DataFrame:
+    """Stored Parquet, read so that counts (and least and greatest numbers and dates) come from the files' footers.
+
+    The data pages are not touched. That holds for aggregates over the whole table without filters; whatever else is
+    asked is computed as usual. NaN is a value for a footer, not a missing one. The session of the result is one of its own, in
+    which Parquet is read through the interface that passes aggregates down.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path)
+
+
+def footer_profile(stored: DataFrame) -> DataFrame:
+    """(variable, n_rows, null_count, null_pct) of every column of a table read by its footers."""
+    row = stored.agg(F.count("*").alias("rows_"), *[F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(stored.columns)])
+    empty = [F.col("rows_") - F.col(f"n_{i}") for i in range(len(stored.columns))]
+    return in_long_form(
+        row,
+        *[
+            {"variable": F.lit(c), "n_rows": F.col("rows_"), "null_count": empty[i], "null_pct": share(empty[i], F.col("rows_"))}
+            for i, c in enumerate(stored.columns)
+        ],
+    )
+
+
+def footer_ranges(stored: DataFrame) -> DataFrame:
+    """(variable, smallest, largest) of the whole-number and double columns of a table read by its footers."""
+    cols = [c for c, t in stored.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    row = stored.agg(*[f(F.col(f"`{c}`")).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))])
+    return in_long_form(
+        row,
+        *[{"variable": F.lit(c), "smallest": F.col(f"lo_{i}").cast("double"), "largest": F.col(f"hi_{i}").cast("double")} for i, c in enumerate(cols)],
+    )
+
+
 def freq_table(df: DataFrame, col: str, dropna: bool = False) -> DataFrame:
     rows = df.where(F.col(col).isNotNull()) if dropna else df
     return rows.groupBy(col).agg(F.count("*").alias("n")).orderBy(col)

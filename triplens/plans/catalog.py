@@ -20,12 +20,13 @@ from triplens.operators import outliers as O
 from triplens.operators import profile as P
 from triplens.operators import refunds as R
 from triplens.operators import rules as Q
+from triplens.operators import sketches as X
 from triplens.operators import zones as Z
 from triplens.plans import cleaning as K
 from triplens.plans import reports, summaries
 from triplens.sources import readers, writers
 from triplens.sources.derived import stored, trips, zones
-from triplens.sources.shared import new_path
+from triplens.sources.shared import new_path, pin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,6 +190,30 @@ def _negative_study(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return reports.negative_study(trips(spark, folder), K.of_kind(removal_sets(spark, folder), K.PAIRS))
 
 
+def _recleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """A cleaned table in which one month was written from incomplete trips, after that month was written anew."""
+    raw, sets, path, month = trips(spark, folder), removal_sets(spark, folder), new_path(spark, "months"), "2025-02"
+    late = (F.date_format(S.PICKUP, "yyyy-MM") == month) & (F.col(S.VENDOR) == 2)
+    writers.write_clean(K.clean_trips(raw.where(~late), sets=sets), path)
+    writers.rewrite_months(K.clean_month(raw, month, sets), path, [month])
+    return with_doubles(spark.read.parquet(path)).withColumn("pickup_month", F.col("pickup_month").cast("string"))
+
+
+def _footers(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = new_path(spark, "footers")
+        with_doubles(trips(spark, folder)).write.parquet(path)
+        return fn(P.by_footers(spark, path))
+
+    return run
+
+
+def _sketched(df: DataFrame) -> DataFrame:
+    """Whether the quantiles of stored sketches keep their stated error."""
+    found = X.sketched_quantiles(pin(X.quantile_sketches(df)), [0.25, 0.5, 0.75, *O.QUANTILES.values()])
+    return X.rank_check(df, found)
+
+
 # --- operators that need more than one table
 
 
@@ -240,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "read_zone_lookup": _round_trip_lookup,
     "read_zone_shapes": _round_trip_shapes,
     "write_clean": _round_trip_clean,
+    "rewrite_month": _recleaned,
     "write_zone_agg": _round_trip_zone_agg,
     "write_read_summary": _round_trip_summary,
     "save_report": _saved_report,
@@ -260,6 +286,8 @@ QUERIES: dict[str, Query] = {
     "null_rate_by": _raw(P.null_rate_by),
     "null_rate_by_two": _raw(partial(P.null_rate_by, cols=(S.PASSENGERS, S.RATE))),
     "null_trend": _raw(P.null_trend),
+    "footer_profile": _footers(P.footer_profile),
+    "footer_ranges": _footers(P.footer_ranges),
     "null_overlap": _raw(P.null_overlap),
     "null_block_by": _raw(P.null_block_by),
     # duplicates
@@ -284,6 +312,9 @@ QUERIES: dict[str, Query] = {
     "pair_reconciliation": _raw(U.pair_reconciliation),
     "pair_examples": _raw(U.pair_examples),
     "ordered_neighbours": _raw(_ordered_neighbours),
+    "neighbours_in_order": _raw(
+        lambda df: N.neighbours_in_order(df.select(S.ID, S.PICKUP, S.PASSENGERS, S.TOTAL), [S.ID, S.TOTAL], [S.PASSENGERS, S.PICKUP, S.ID])
+    ),
     "refund_rows": _raw(N.refund_rows),
     "dispute_rows": _raw(N.dispute_rows),
     "remove_rows": _raw(_remove_refunds),
@@ -334,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "negative_matrix": _raw(Q.negative_matrix),
     # outliers
     "outlier_thresholds": _rounded(O.outlier_thresholds),
+    "outlier_sketches": _raw(_sketched),
     "domain_thresholds": _raw(O.domain_thresholds),
     # discrepancy study
     "add_discrepancy": _gaps(

@@ -164,6 +164,17 @@ def clean_trips(
     return repair(flagged)
 
 
+def clean_month(df: DataFrame, month: str, sets: DataFrame | None = None) -> DataFrame:
+    """The cleaned trips of one pickup month, as cleaning all trips gives them.
+
+    Which trips refunds and disputes take away depends on neighbours of any month, so that is decided on the
+    few narrow columns of all trips, unless the sets are stored; wide rows are read for the month alone.
+    """
+    first = instant(f"{month}-01 00:00:00")
+    inside = (F.col(S.PICKUP) >= first) & (F.col(S.PICKUP) < first + F.expr("INTERVAL '1' MONTH"))
+    return clean_trips(df.where(inside), sets=removal_sets(df) if sets is None else sets)
+
+
 def with_failed_step(
     df: DataFrame,
     start: str = S.WINDOW_START,

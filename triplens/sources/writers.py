@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triplens import schema as S
@@ -20,6 +20,24 @@ def write_clean(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select("*", month).hint("rebalance", "pickup_month").write.mode(mode).partitionBy("pickup_month").parquet(path)
 
 
+def rewrite_months(df: DataFrame, path: str, months: Sequence[str]) -> None:
+    """Replace the given pickup months of a cleaned table; its other months are not touched.
+
+    ``df`` has the cleaned trips of these months. Rows of any other month are an error, as they would replace theirs.
+    A month that has no rows left keeps no partition.
+    """
+    month = F.date_format(S.PICKUP, "yyyy-MM")
+    found = {r.pickup_month for r in df.select(month.alias("pickup_month")).distinct().collect()}
+    if not found <= set(months):
+        raise ValueError(f"rows of another month than {', '.join(months)}")
+    rows = df.select("*", month.alias("pickup_month")).hint("rebalance", "pickup_month")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pickup_month").parquet(path)
+    context = df.sparkSession.sparkContext
+    for gone in set(months) - found:
+        place = context._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/pickup_month={gone}")
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_zone_agg(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -35,7 +53,7 @@ MANIFEST = "manifest"
 def write_tables(tables: Mapping[str, DataFrame], folder: str, form: str = "parquet", mode: str = "errorifexists") -> None:
     """Write a named set of tables, each a dataset of its own, and last of all the manifest.
 
-    The manifest has each table's name, form, schema and number of rows, counted while it was written. It is taken
+    The manifest has each table's name, form, schema and number of rows as written. It is taken
     away before anything is overwritten, so a set whose writing broke off has none and cannot be read.
     """
     folder = folder.rstrip("/")
@@ -48,10 +66,9 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, form: str = "parq
         raise ValueError(f"{folder} already holds a set of tables")
     entries = []
     for name, table in tables.items():
-        seen = Observation()
-        counted = table.observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.mode(mode).option("header", True).format(form).save(f"{folder}/{name}")
-        entries.append((name, form, table.schema.json(), seen.get["rows"]))
+        table.write.mode(mode).option("header", True).format(form).save(f"{folder}/{name}")
+        written = spark.read.schema(table.schema).option("header", True).format(form).load(f"{folder}/{name}")
+        entries.append((name, form, table.schema.json(), written.count()))
     manifest = spark.createDataFrame(entries, "table_name string, form string, schema string, n_rows bigint")
     manifest.coalesce(1).write.json(f"{folder}/{MANIFEST}")
 
