@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 PIECE = 1 << 15
 WINDOW = 64
 WORD = 64
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 # Bytes of text that are encoded before their rows are handed on.
 TOGETHER = 4_000_000
 
@@ -76,7 +76,7 @@ def base_form(word: str) -> tuple[str, str]:
     taken off and plain capitals lowered. Other words stay as they are.
     """
     mark = ""
-    if len(word) > 1 and word[-1] in ".,;:!?" and word[-2] < "\u0250" and word[-2].isalpha():
+    if len(word) > 1 and word[-1] in ".,;:!?" and word[-2] < "\u0100" and word[-2].isalpha():
         word, mark = word[:-1], word[-1]
     return (word.lower() if word.isascii() else word), mark
 
@@ -89,7 +89,7 @@ def _plain_case(path: str) -> bool:
 
 
 def remember(path: str, words: list[str], places: bool = False) -> dict:
-    """Word -> ids as bytes, or (ids, starts, ends); words that are not yet known are encoded in one batch.
+    """Word -> ids as bytes, or ids, starts and ends in turn; words that are not yet known are encoded in one batch.
 
     A memory that has grown too large keeps the words that are asked for now.
     """
@@ -99,11 +99,7 @@ def remember(path: str, words: list[str], places: bool = False) -> dict:
         return known
     extra = {}
     for w, e in zip(new, (made.encode_batch if places else made.encode_batch_fast)(new, add_special_tokens=False), strict=True):
-        if places:
-            at = np.array(e.offsets, np.int64).reshape(-1, 2)
-            found = (np.array(e.ids, np.int64), at[:, 0], at[:, 1])
-        else:
-            found = array("I", e.ids).tobytes()
+        found = array("I", [v for i, (a, b) in zip(e.ids, e.offsets, strict=True) for v in (i, a, b)] if places else e.ids).tobytes()
         (known if len(w) <= WORD else extra)[w] = found
     out = {**known, **extra} if extra else known
     if len(known) > REMEMBERED:
@@ -175,11 +171,10 @@ def piece_spans(path: str, text: str) -> np.ndarray:
         return spans(path, text)
     known = remember(path, list(dict.fromkeys(w for _, w in words)), places=True)
     found = [known[w] for _, w in words]
-    if not found:
-        return np.empty((0, 3), np.int64)
-    shift = np.repeat(np.array([at for at, _ in words], np.int64), [len(x) for x, _, _ in found])
-    ids, starts, ends = (np.concatenate([f[i] for f in found]) for i in range(3))
-    return np.column_stack([ids, starts + shift, ends + shift])
+    out = np.frombuffer(b"".join(found), "<u4").astype(np.int64).reshape(-1, 3)
+    if len(words):
+        out[:, 1:] += np.repeat(np.array([at for at, _ in words], np.int64), [len(f) // 12 for f in found])[:, None]
+    return out
 
 
 def _pairs(tokens: np.ndarray, low: int, high: int) -> np.ndarray:
