@@ -13,17 +13,20 @@ Sections are given by their starts, which ascend from 0 and cut the whole text;
 are the lines, each with its line feed. A character split between two tokens counts for both.
 
 Defined results: a null or empty text has one section, 0 to 0, without tokens; an empty section
-(a start that repeats) has none; rows that repeat an id are rows of their own.
+(a start that repeats) has none; rows that repeat an id are rows of their own. Texts may be of any length and hold runs of
+any length without a break.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +54,36 @@ def load(path: str, pattern: str):
     return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+# Runs of white space from this length on are merged without the pattern, whose search is bounded.
+LONG_RUN = 1000
+_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
+
+
+def token_ids(text: str, encoding, pattern: str) -> list[int]:
+    """The ids of a whole text.
+
+    The pattern takes a run of white space but its last character, or all of it at the text's end, as one piece; no other piece
+    goes on into white space. So the text may be cut there, and a long run is merged as the piece it is. Should the library
+    still give up on a text, the pieces are found here and merged one by one.
+    """
+    ids, at = [], 0
+    try:
+        for run in _RUN.finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            ids += encoding.encode_ordinary(text[at : run.start()])
+            ids += encoding._encode_single_piece(text[run.start() : stop].encode("utf-8"))
+            at = stop
+        return ids + encoding.encode_ordinary(text[at:])
+    except BaseException as e:  # the library's panics are no ordinary exceptions
+        if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+            raise
+        return [i for piece in regex.finditer(pattern, text) for i in encoding._encode_single_piece(piece.group().encode("utf-8"))]
+
+
 def spans(text: str, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """First and one past the last character of each token of a text."""
     encoding, lengths = load(path, pattern)
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    ids = np.array(token_ids(text, encoding, pattern), np.int64)
     ends = np.cumsum(lengths[ids])
     if len(text) == (ends[-1] if len(ends) else 0):
         return ends - lengths[ids], ends
