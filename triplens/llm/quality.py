@@ -39,8 +39,8 @@ def _lines() -> Column:
     return F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
 
 
-# Words of two or more final exclamation or question marks; the word's end is taken with the match.
-SHOUT = r"[^\x20\x09-\x0D]*[!?]{2,}([\x20\x09-\x0D]|$)"
+# The ends of words of two or more final exclamation or question marks: each such word has one.
+SHOUT = r"[!?]{2}([\x20\x09-\x0D]|$)"
 LETTER_WORD = r"\p{L}[^\x20\x09-\x0D]*"
 ELLIPSIS = r"(\.\.\.|\x{2026})(\n|$)"
 BULLET = r"(^|\n)[-*\x{2022}]"
