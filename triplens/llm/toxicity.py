@@ -82,22 +82,23 @@ def weight_of(word: str, stems: dict[str, tuple[float, float]]) -> float:
 def segments(positive: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
     """All maximal segments (score, first, last) of a text in which ``positive`` (place, weight) are
     the tokens of positive weight, in order, and all others weigh -DRIFT. Linear in the list's length."""
-    held: list[list] = []  # sum before, sum after, first, last
+    held: list[list] = []  # sum before, sum after, first, last, and the nearest one held with a smaller sum before
     before, sum_ = -1, 0.0
     for place, weight in positive:
         sum_ -= DRIFT * (place - before - 1)
-        now = [sum_, sum_ + weight, place, place]
+        now = [sum_, sum_ + weight, place, place, -1]
         sum_, before = sum_ + weight, place
-        while held:
+        while True:
             j = len(held) - 1
             while j >= 0 and held[j][0] >= now[0]:
-                j -= 1
+                j = held[j][4]
+            now[4] = j
             if j < 0 or held[j][1] >= now[1]:
                 break
-            now = [held[j][0], now[1], held[j][2], now[3]]
+            now = [held[j][0], now[1], held[j][2], now[3], -1]
             del held[j:]
         held.append(now)
-    return [(b - a, first, last) for a, b, first, last in held]
+    return [(b - a, first, last) for a, b, first, last, _ in held]
 
 
 def decay(weights: np.ndarray, counts: np.ndarray) -> float:
