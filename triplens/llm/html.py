@@ -306,7 +306,9 @@ def _open(node: Node) -> bool:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of ``keep`` and ``text`` of every page."""
-    rows = pages.select(*[F.col(c) for c in keep], F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    given, keep = keep, tuple(f"keep{i}" for i in range(len(keep)))
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(given, keep, strict=True)]
+    rows = pages.select(*named, F.coalesce(F.col(url), F.lit("")).alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     site = F.lower(F.regexp_extract("_url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = rows.select(*keep, site.alias("_host"), "_html")
     digest = F.unhex(F.md5(F.concat_ws("\n", "_host", "_html")))
@@ -332,4 +334,5 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[
                 texts.append(main_text(site_, source, presented, {x["key"]: x["m"] for x in known if x["worth"] < 0}) if source else "")
             yield batch[list(keep)].assign(text=texts)
 
-    return joined.mapInPandas(cut, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string")
+    out = joined.mapInPandas(cut, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(given, keep, strict=True)], "text")
