@@ -161,6 +161,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links
         if links is not None and not new.take(1):
             continue
         links = new if links is None else links.unionByName(new)
+        released(found, known if turn and hasattr(known, "stored_at") else None)
         found = stored(components(links), "components")
         known = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         known = stored(known, "known")
