@@ -16,20 +16,23 @@ base AS (SELECT k, k*10 AS trip_id,
  CAST(CASE WHEN k%97=0 THEN 0 WHEN k%499=0 THEN 15000 ELSE 30+(k*37)%2500 END AS DOUBLE)/100 AS trip_distance,
  CASE WHEN c%5=3 THEN NULL WHEN k%40=0 THEN 2 WHEN k%101=0 THEN 3 WHEN k%67=0 THEN 5 WHEN k%89=0 THEN 99 ELSE 1 END AS RatecodeID,
  CASE WHEN c%5=3 THEN NULL WHEN k%200=0 THEN 'Y' ELSE 'N' END AS store_and_fwd_flag,
- CAST(1+(k*31)%265 AS INT) AS PULocationID, CAST(1+(c*17)%265 AS INT) AS DOLocationID,
+ CAST(CASE WHEN k%4=0 THEN 220+(k*3)%23 ELSE 1+(k*31)%265 END AS INT) AS PULocationID,
+ CAST(CASE WHEN c%4=0 THEN 100+(c*7)%23 ELSE 1+(c*17)%265 END AS INT) AS DOLocationID,
  CASE WHEN c%5=3 THEN 0 WHEN k%7=0 THEN 2 WHEN k%59=0 THEN 3 WHEN k%61=0 THEN 4 ELSE 1 END AS payment_type,
  CAST(300+(k*53)%7000 AS BIGINT) AS fare_c, CAST((k%4)*100 AS BIGINT) AS extra_c,
  CASE WHEN k%83=0 THEN 0 ELSE 50 END AS mta_c, CASE WHEN k%7=0 THEN 0 ELSE (k*11)%1500 END AS tip_c,
  CASE WHEN k%20=0 THEN 694 ELSE 0 END AS tolls_c, CASE WHEN k%701=0 THEN 30 ELSE 100 END AS impr_c,
  CASE WHEN c%5=3 THEN NULL WHEN k%3=0 THEN 0 ELSE 250 END AS cong_c,
- CASE WHEN c%5=3 THEN NULL WHEN (1+(k*31)%265) IN (132,138) OR k%151=0 THEN 175 ELSE 0 END AS air_c,
+ CASE WHEN c%5=3 THEN NULL WHEN k%353=0 THEN 500 WHEN (1+(k*31)%265) IN (132,138) OR k%151=0 THEN 175 ELSE 0 END AS air_c,
  CASE WHEN k%4=0 THEN 75 ELSE 0 END AS cbd_c,
  CASE WHEN k%13=0 THEN 250 WHEN k%29=0 THEN -75 WHEN k%997=0 THEN 6000 ELSE 0 END AS gap_c
  FROM src),
 copies AS (
  SELECT *, 0 AS j, 1 AS sg, 1 AS sgm, 1 AS sgt, 1 AS sgs FROM base
  UNION ALL SELECT *, 1, CASE WHEN k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END, CASE WHEN k%11=0 OR k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END, CASE WHEN k%3=0 THEN 0 ELSE -1 END, CASE WHEN k%2=0 THEN 0 ELSE -1 END FROM base WHERE k%31=0
- UNION ALL SELECT *, 2, 1, 1, 1, 1 FROM base WHERE k%310=0),
+ UNION ALL SELECT *, 2, 1, 1, 1, 1 FROM base WHERE k%310=0
+ UNION ALL SELECT * REPLACE (pu + INTERVAL '1' SECOND * 1111 AS pu), 3, -1, -1, -1, -1 FROM base WHERE k%31<>0 AND k%239=0
+ UNION ALL SELECT * REPLACE (trip_distance + 1.5 AS trip_distance), 4, 1, 1, 1, 1 FROM base WHERE k%31<>0 AND k%239<>0 AND k%173=0),
 raw AS (
  SELECT trip_id+j AS trip_id, VendorID, pu AS tpep_pickup_datetime, pu + INTERVAL '1' SECOND * dur_s AS tpep_dropoff_datetime,
  passenger_count, trip_distance, RatecodeID, store_and_fwd_flag, PULocationID, DOLocationID, payment_type,

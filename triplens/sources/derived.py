@@ -31,8 +31,8 @@ BASE = {
     "trip_distance": "CAST(CASE WHEN k%97=0 THEN 0 WHEN k%499=0 THEN 15000 ELSE 30+(k*37)%2500 END AS DOUBLE)/100",
     "RatecodeID": "CASE WHEN c%5=3 THEN NULL WHEN k%40=0 THEN 2 WHEN k%101=0 THEN 3 WHEN k%67=0 THEN 5 WHEN k%89=0 THEN 99 ELSE 1 END",
     "store_and_fwd_flag": "CASE WHEN c%5=3 THEN NULL WHEN k%200=0 THEN 'Y' ELSE 'N' END",
-    "PULocationID": "CAST(1+(k*31)%265 AS INT)",
-    "DOLocationID": "CAST(1+(c*17)%265 AS INT)",
+    "PULocationID": "CAST(CASE WHEN k%4=0 THEN 220+(k*3)%23 ELSE 1+(k*31)%265 END AS INT)",
+    "DOLocationID": "CAST(CASE WHEN c%4=0 THEN 100+(c*7)%23 ELSE 1+(c*17)%265 END AS INT)",
     "payment_type": "CASE WHEN c%5=3 THEN 0 WHEN k%7=0 THEN 2 WHEN k%59=0 THEN 3 WHEN k%61=0 THEN 4 ELSE 1 END",
     "fare_c": "300+(k*53)%7000",
     "extra_c": "(k%4)*100",
@@ -41,20 +41,25 @@ BASE = {
     "tolls_c": "CASE WHEN k%20=0 THEN 694 ELSE 0 END",
     "impr_c": "CASE WHEN k%701=0 THEN 30 ELSE 100 END",
     "cong_c": "CASE WHEN c%5=3 THEN NULL WHEN k%3=0 THEN 0 ELSE 250 END",
-    "air_c": "CASE WHEN c%5=3 THEN NULL WHEN (1+(k*31)%265) IN (132,138) OR k%151=0 THEN 175 ELSE 0 END",
+    "air_c": "CASE WHEN c%5=3 THEN NULL WHEN k%353=0 THEN 500 WHEN (1+(k*31)%265) IN (132,138) OR k%151=0 THEN 175 ELSE 0 END",
     "cbd_c": "CASE WHEN k%4=0 THEN 75 ELSE 0 END",
     "gap_c": "CASE WHEN k%13=0 THEN 250 WHEN k%29=0 THEN -75 WHEN k%997=0 THEN 6000 ELSE 0 END",
     "source_month": "CASE WHEN k%3=0 THEN '2025-01' WHEN k%3=1 THEN '2025-02' ELSE '2025-03' END",
 }
 
-# Which copies an order has, and the sign of each amount on a copy.
-COPIES = "CASE WHEN k%310=0 THEN array(0,1,2) WHEN k%31=0 THEN array(0,1) ELSE array(0) END"
+# Which copies an order has, and the sign of each amount on a copy. Copies 1 and 2 are voids and repeats beside the
+# trip; 3 is a void at another time, which belongs to no pair; 4 is a repeat of another length.
+COPIES = (
+    "CASE WHEN k%310=0 THEN array(0,1,2) WHEN k%31=0 THEN array(0,1) WHEN k%239=0 THEN array(0,3)"
+    " WHEN k%173=0 THEN array(0,4) ELSE array(0) END"
+)
 SIGNS = {
-    "sg": "CASE WHEN j<>1 OR k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END",
-    "sgm": "CASE WHEN j<>1 OR k%11=0 OR k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END",
-    "sgt": "CASE WHEN j<>1 THEN 1 WHEN k%3=0 THEN 0 ELSE -1 END",
-    "sgs": "CASE WHEN j<>1 THEN 1 WHEN k%2=0 THEN 0 ELSE -1 END",
+    "sg": "CASE WHEN j=3 THEN -1 WHEN j<>1 OR k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END",
+    "sgm": "CASE WHEN j=3 THEN -1 WHEN j<>1 OR k%11=0 OR k%5=0 THEN 1 WHEN k%17=0 THEN 0 ELSE -1 END",
+    "sgt": "CASE WHEN j=3 THEN -1 WHEN j<>1 THEN 1 WHEN k%3=0 THEN 0 ELSE -1 END",
+    "sgs": "CASE WHEN j=3 THEN -1 WHEN j<>1 THEN 1 WHEN k%2=0 THEN 0 ELSE -1 END",
 }
+LATER = "INTERVAL '1' SECOND * IF(j=3, 1111, 0)"
 AMOUNTS = {
     S.FARE: "fare_c*sg",
     S.EXTRA: "extra_c*sg",
@@ -85,10 +90,10 @@ def derive_trips(spark: SparkSession, folder: str) -> DataFrame:
     return typed_trips(
         signed.select(
             F.expr("k*10+j").alias(S.ID),
-            F.col("pu").alias(S.PICKUP),
-            F.expr("pu + INTERVAL '1' SECOND * dur_s").alias(S.DROPOFF),
+            F.expr(f"pu + {LATER}").alias(S.PICKUP),
+            F.expr(f"pu + {LATER} + INTERVAL '1' SECOND * dur_s").alias(S.DROPOFF),
             *[F.expr(f"CAST({e} AS DECIMAL(10,0)) * 0.01").alias(n) for n, e in amounts.items()],
-            S.VENDOR, S.PASSENGERS, S.DISTANCE, S.RATE, S.FLAG, S.PU, S.DO, S.PAYMENT, S.MONTH,
+            S.VENDOR, S.PASSENGERS, F.expr(f"{S.DISTANCE} + IF(j=4, 1.5D, 0D)").alias(S.DISTANCE), S.RATE, S.FLAG, S.PU, S.DO, S.PAYMENT, S.MONTH,
         )
     )
 
