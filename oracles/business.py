@@ -296,3 +296,23 @@ for name, kind in (("zone_kpis", "pickup"), ("zone_kpis_dropoff", "dropoff")):
         *CLEAN_STEPS,
         AGG,
     )
+
+# --- polygons by their closed forms, and a trend by a weighted line over the trips themselves
+ORACLES["zone_polygons"] = query(
+    "SELECT LocationID, 2 AS n_parts, 1 AS n_holes, 12 AS n_points, 106.0::DOUBLE AS area,"
+    " round((100.0::DOUBLE * (LocationID + 5) - 6.0::DOUBLE * (LocationID + 3) + 12.0::DOUBLE * (LocationID + 22)) / 106.0::DOUBLE, 6) AS centroid_x,"
+    " round((500.0::DOUBLE - 21.0::DOUBLE + 16.0::DOUBLE) / 106.0::DOUBLE, 6) AS centroid_y,"
+    " LocationID::DOUBLE AS min_x, 0.0::DOUBLE AS min_y, (LocationID + 26)::DOUBLE AS max_x, 10.0::DOUBLE AS max_y FROM zones",
+    *ZONES,
+)
+ORACLES["local_trend"] = query(
+    "SELECT bin, n, mid AS \"at\", round(my + coalesce(slope, 0) * (mid - mx), 6) AS fitted FROM (SELECT b.bin, any_value(b.n) AS n, b.mid,"
+    " sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my,"
+    " (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / nullif(sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w), 0) AS slope"
+    " FROM (SELECT b.*, x, y, power(1 - power(least(abs(p.mid - b.mid) / 4.0::DOUBLE, 1), 3), 3) AS w FROM bins b JOIN points p ON abs(p.mid - b.mid) < 4) b"
+    " GROUP BY b.bin, b.mid)",
+    *CLEAN_STEPS,
+    "points AS (SELECT floor(trip_distance / 0.5::DOUBLE)::BIGINT AS bin, (floor(trip_distance / 0.5::DOUBLE) + 0.5::DOUBLE) * 0.5::DOUBLE AS mid,"
+    " trip_distance AS x, total_amount::DOUBLE AS y FROM c WHERE trip_distance IS NOT NULL AND total_amount IS NOT NULL)",
+    "bins AS (SELECT bin, mid, count(*) AS n FROM points GROUP BY bin, mid)",
+)

@@ -12,8 +12,10 @@ from tests.frames import later, make_trips
 from triplens import schema as S
 from triplens.operators import neighbours as N
 from triplens.operators import outliers as O
+from triplens.operators import polygons as G
 from triplens.operators import profile as P
 from triplens.operators import sketches as X
+from triplens.operators import trends as T
 from triplens.plans import cleaning as K
 from triplens.sources import writers
 
@@ -99,3 +101,44 @@ def test_other_months_are_safe(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     writers.rewrite_months(rows.limit(0), path, ["2025-02"])
     assert [r.pickup_month for r in spark.read.parquet(path).select(F.col("pickup_month").cast("string")).collect()] == ["2025-03"]
+
+
+def figures(spark, *shapes):
+    rows = spark.createDataFrame(list(enumerate(shapes)), "LocationID int, shape string")
+    return {r.LocationID: r for r in G.zone_polygons(rows).collect()}
+
+
+def test_polygons_of_all_kinds(spark):
+    found = figures(
+        spark,
+        "POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))",
+        "polygon((0 0,0 2,4 2,4 0))",
+        "MULTIPOLYGON(((0 0, 4 0, 4 4, 0 4), (1 1, 3 1, 3 3, 1 3)), ((-10.5 0, -9.5 0, -9.5 1e0, -10.5 1)))",
+        "MULTIPOLYGON EMPTY",
+        None,
+        "POLYGON ((0 0, 1 x, 2 2))",
+        "LINESTRING (0 0, 1 1)",
+        "POLYGON ((1 1, 2 2, 3 3))",
+        "POLYGON ((0 0, 1 0)",
+    )
+    for i in (0, 1):
+        assert (found[i].area, found[i].centroid_x, found[i].centroid_y) == (8.0, 2.0, 1.0)
+        assert (found[i].min_x, found[i].max_x, found[i].min_y, found[i].max_y) == (0.0, 4.0, 0.0, 2.0)
+    assert (found[0].n_points, found[1].n_points) == (5, 4)
+    assert (found[2].n_parts, found[2].n_holes, found[2].area) == (2, 1, 13.0)
+    assert abs(found[2].centroid_x - (12 * 2 - 10) / 13) < 1e-12 and found[2].min_x == -10.5
+    assert (found[3].n_parts, found[3].area, found[3].centroid_x, found[3].min_x) == (0, 0.0, None, None)
+    assert all(found[i].parts is None and found[i].area is None and found[i].n_points is None for i in (4, 5, 6, 8))
+    assert found[7].area == 0.0 and found[7].centroid_x is None and found[7].max_y == 3.0
+
+
+def test_trend_of_a_line_is_the_line(spark):
+    rows = spark.range(2000).select((F.col("id") % 97 / 7).alias("x"), (F.col("id") % 97 / 7 * 3 + 2).alias("y"))
+    for r in T.local_trend(rows, "x", "y", 0.25, 1.5).collect():
+        assert abs(r.fitted - (3 * r.at + 2)) < 1e-4  # measures are kept to six digits
+    one = spark.createDataFrame([(1.0, 5.0), (1.0, 7.0), (None, 3.0)], "x double, y double")
+    (row,) = T.local_trend(one, "x", "y", 1.0, 2.0).collect()
+    assert (row.n, row.fitted) == (2, 6.0)
+    assert T.local_trend(one.limit(0), "x", "y", 1.0, 2.0).count() == 0
+    with pytest.raises(Exception, match="too many bins"):
+        T.local_trend(rows, "x", "y", 0.25, 1.5, max_bins=3).collect()

@@ -17,10 +17,12 @@ from triplens.operators import durations as C
 from triplens.operators import eda as E
 from triplens.operators import neighbours as N
 from triplens.operators import outliers as O
+from triplens.operators import polygons as G
 from triplens.operators import profile as P
 from triplens.operators import refunds as R
 from triplens.operators import rules as Q
 from triplens.operators import sketches as X
+from triplens.operators import trends
 from triplens.operators import zones as Z
 from triplens.plans import cleaning as K
 from triplens.plans import reports, summaries
@@ -140,6 +142,18 @@ def _round_trip_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_zone_shapes(spark, path)
 
 
+def _polygons(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures of shapes with a hole and a second part, written with line breaks and read back."""
+    path, i = new_path(spark, "shapes"), F.col("LocationID")
+    shape = F.format_string(
+        "MULTIPOLYGON (((%d 0, %d 0,\n%d 10, %d 10, %d 0), (%d 2, %d 5, %d 5.0, %d 2)),\n((%d 0, %d 0, %d 4)))",
+        i, i + 10, i + 10, i, i, i + 2, i + 2, i + 4, i + 4, i + 20, i + 26, i + 20,
+    )
+    table = zones(spark, folder, trips(spark, folder)).select(i.alias("Location ID"), shape.alias("Shape Geometry"))
+    table.write.csv(path, header=True, quoteAll=True)
+    return with_rounding(G.zone_polygons(readers.read_zone_shapes(spark, path)).drop("parts"), 6)
+
+
 def _round_trip_zone_agg(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "zone-agg")
     writers.write_zone_agg(Z.zone_agg(cleaned(spark, folder)), path)
@@ -265,6 +279,7 @@ QUERIES: dict[str, Query] = {
     "read_zone_lookup": _round_trip_lookup,
     "read_zone_shapes": _round_trip_shapes,
     "write_clean": _round_trip_clean,
+    "zone_polygons": _polygons,
     "rewrite_month": _recleaned,
     "write_zone_agg": _round_trip_zone_agg,
     "write_read_summary": _round_trip_summary,
@@ -484,6 +499,7 @@ QUERIES: dict[str, Query] = {
     "weekday_demand": _clean(E.weekday_demand),
     "payment_behavior": _clean(E.payment_behavior),
     "sample_points": _clean(E.sample_in_range),
+    "local_trend": _clean(lambda df: with_rounding(trends.local_trend(df, S.DISTANCE, S.TOTAL, width=0.5, bandwidth=4.0), 6)),
     "top_zones_trips": _clean(E.top_zones_by_trips),
     "top_zones_revenue": _clean(E.top_zones_by_revenue),
     "demand_matrix_month_hour": _clean(partial(E.demand_matrix, a="pickup_month_label")),
