@@ -123,13 +123,6 @@ def components(edges: DataFrame) -> DataFrame:
 Links = Callable[[DataFrame], DataFrame]
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of one bucket that are in different components."""
-    left = members.select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = members.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
-
-
 def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links]], rounds: int = 1) -> DataFrame:
     """(node, component) for the links among nodes that share a bucket.
 
