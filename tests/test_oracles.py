@@ -28,3 +28,11 @@ def test_query(name, spark, folder, duck):
     assert not bad, bad[:3]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in FORBIDDEN if word in plan]
+
+
+def test_the_derived_trips_have_something_for_every_check(spark, folder):
+    """Queries that would agree on nothing prove nothing."""
+    for name in ("orphan_by_payment", "airport_fee_amounts"):
+        assert QUERIES[name](spark, folder).count() > 0, name
+    assert QUERIES["orphan_negatives"](spark, folder).first().orphans > 0
+    assert QUERIES["near_dups_simple"](spark, folder).count() > QUERIES["near_dups_strict"](spark, folder).count()
