@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triplens.llm.common import released, small, stored
@@ -136,9 +137,11 @@ def doubled(phrases: DataFrame, longest: int) -> list[DataFrame]:
     levels = []
     while now.take(1):
         levels.append(now)
-        left = now.select("node", "i", "rank", "bytes")
-        right = now.select("node", (F.col("i") - 2 ** (len(levels) - 1)).alias("i"), F.col("rank").alias("then"), F.col("bytes").alias("more"))
-        pairs = left.join(right, ["node", "i"]).select("node", "i", "rank", "then", (F.col("bytes") + F.col("more")).alias("bytes"))
+        # The anchor 2^k phrases on, if it is left: one shuffle by text, where a join would take two.
+        offset = 2 ** (len(levels) - 1)
+        onward = W.partitionBy("node").orderBy("i").rangeBetween(offset, offset)
+        pairs = now.select("node", "i", "rank", "bytes", F.first(F.struct("rank", "bytes")).over(onward).alias("on")).where("on is not null")
+        pairs = pairs.select("node", "i", "rank", F.col("on.rank").alias("then"), (F.col("bytes") + F.col("on.bytes")).alias("bytes"))
         pairs = stored(pairs.where(F.col("bytes") <= longest), "pairs")
         classes = ranked(pairs, ["rank", "then"])
         now = stored(pairs.join(classes, ["rank", "then"]).select("node", "i", F.col("name").alias("rank"), "bytes"), "level")
@@ -280,7 +283,8 @@ class Texts:
 def repeated(texts: Texts) -> DataFrame:
     """(node, starts, ends): the maximal runs of bytes to remove from each different text, by the other texts and itself."""
     phrases = stored(texts.different().mapInArrow(_phrases, PHRASES), "phrases")
-    levels = doubled(phrases, LENGTH + 4 * WINDOW)
+    # No run that is asked for is longer: a range, its strings, and an anchor's distance on either side.
+    levels = doubled(phrases, LENGTH + 3 * WINDOW)
     released(phrases)
     if not levels:
         return phrases.sparkSession.createDataFrame([], "node bigint, starts array<int>, ends array<int>")
