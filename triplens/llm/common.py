@@ -139,6 +139,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links
     is_link, rest = prepare(shared.select("node").distinct())
     known = shared.select("bucket", "node", F.col("node").alias("component"))
     links = found = None
+    made = [shared]
     for turn in range(rounds + 1):
         order = F.xxhash64("node", "bucket", F.lit(turn)) if turn else F.col("node")
         head = known.groupBy("bucket").agg(
@@ -151,11 +152,14 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], tuple[Links, Links
             new = stored(is_link(pairs), "links")
         else:
             new = stored(rest(known.join(head.select("bucket"), "bucket", "left_semi")), "links")
+        made.append(new)
         if links is not None and not new.take(1):
             continue
         links = new if links is None else links.unionByName(new)
-        released(found, known if turn and hasattr(known, "stored_at") else None)
+        released(found)
         found = stored(components(links), "components")
         known = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         known = stored(known, "known")
+        made.append(known)
+    released(*made)
     return found
