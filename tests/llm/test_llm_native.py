@@ -60,6 +60,35 @@ def test_shards_are_gapless_and_grow_into_the_new_one(spark):
     assert want == collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out)
 
 
+def test_a_key_of_many_rows_is_cut_into_chunks(spark):
+    rows = [(None if i % 3 == 0 else i, "x" * (i % 50) + str(i)) for i in range(6000)]
+    rows += [(7, "y" * (i % 40) + str(i)) for i in range(800)] + [(None, "same")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    assert set(shards.hot_keys(name, docs, 20)) == {hashlib.md5(b"7").hexdigest(), hashlib.md5(b"null").hexdigest()}
+    placed = docs.select(F.md5(name).alias("_order"), (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32"))
+    out = shards.chunked(placed, shards.hot_keys(name, docs, 20), 31).collect()
+    assert len(out) == len(rows)
+    sizes = collections.Counter(r._chunk for r in out)
+    assert max(sizes.values()) < 400
+    # Chunks follow the order: sorted by the order, they never go down.
+    chunks = [r._chunk for r in sorted(out, key=lambda r: (r._order, r.size, r.text_crc32))]
+    assert chunks == sorted(chunks)
+
+
+def test_slots_of_a_key_of_many_rows(spark):
+    rows = [(None, f"{i}" * (i % 9 + 1)) for i in range(900)] + [(i, f"t{i}") for i in range(1500)]
+    out = shards.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    by = {}
+    for r in out:
+        name = "null" if r.doc_id is None else str(r.doc_id)
+        by.setdefault(r.shard, []).append((r.slot, (hashlib.md5(name.encode()).hexdigest(), r.size, r.text_crc32)))
+    for slots in by.values():
+        slots.sort()
+        assert [s for s, _ in slots] == list(range(len(slots)))
+        assert [o for _, o in slots] == sorted(o for _, o in slots)
+
+
 def test_weights_set_the_shares_and_few_keys_move(spark):
     keys = spark.range(20000).select(F.col("id").alias("doc_id"))
     one = keys.select("doc_id", shards.shard_of(F.col("doc_id"), [1.0, 3.0]).alias("s"))

@@ -6,6 +6,7 @@ shard's share follows its weight. Key and shard count alone decide.
 
 Defined results: a null key is a key of its own; a null text has one byte of size (the record's
 end) and the checksum of the empty text; rows that repeat key and text get places of their own.
+A key of very many rows with different texts, the null key included, is cut by size and checksum.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SHARDS = 16
+# A key with more than one in HOT of all rows is cut into chunks of its own, so there are fewer than HOT of them.
+HOT = 4096
+# Cuts of such a key. All cuts together are at most HOT * CUTS longs, 34 MB.
+CUTS = 1023
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -35,7 +40,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 def placed(rows: DataFrame, group: str, chunk: str, order: Sequence[str]) -> DataFrame:
     """The distinct columns of ``rows`` repeated as often as they occur, with ``slot`` 0, 1, .. per group.
 
-    No group meets in one task. Rows are counted by all their columns and input partition; running
+    No group meets in one task, and no key if chunks cut it. Rows are counted by all their columns and input partition; running
     sums inside a chunk (a hash range of the order) and over the chunks of a group give the first
     slot of each count. A row that repeats without end is one count per partition.
     """
@@ -50,6 +55,37 @@ def placed(rows: DataFrame, group: str, chunk: str, order: Sequence[str]) -> Dat
     return joined.select(*columns, F.explode(F.sequence(F.col("_before") + F.col("_start"), F.col("_before") + F.col("_start") + F.col("_n") - 1)).alias("slot"))
 
 
+def hot_keys(name: Column, docs: DataFrame, share: int = HOT) -> list[str]:
+    """The hashes of keys with more than one in ``share`` of all rows: fewer than ``share`` of them."""
+    total = docs.count()
+    counted = docs.groupBy(F.md5(name).alias("_hash")).agg(F.count("*").alias("_n"))
+    return sorted(r["_hash"] for r in counted.where(F.col("_n") * share > total).select("_hash").collect())
+
+
+def chunked(rows: DataFrame, hot: Sequence[str], cuts: int = CUTS) -> DataFrame:
+    """``rows`` with ``_chunk``, a range of the order (_order, size, text_crc32): digits of the hash, for hot keys more.
+
+    Between two chunks of digits, a hot key's rows are cut at quantiles of size and checksum; rows of other keys that
+    share its digits come before or after all of these.
+    """
+    digits = F.substring("_order", 1, 3)
+    if not hot:
+        return rows.select("*", digits.alias("_chunk"))
+    at = F.shiftleft("size", 32) + F.col("text_crc32")
+    marks = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    quantiles = rows.where(F.col("_order").isin(list(hot))).groupBy("_order").agg(F.array_distinct(F.percentile_approx(at, marks)).alias("_cuts"))
+    quantiles = quantiles.select(F.substring("_order", 1, 3).alias("_digits"), F.struct(F.col("_order").alias("key"), F.col("_cuts").alias("cuts")).alias("_hot"))
+    per_digits = F.broadcast(quantiles.groupBy("_digits").agg(F.collect_list("_hot").alias("_hots")))
+    joined = rows.join(per_digits, digits == F.col("_digits"), "left")
+    below = F.size(F.filter("_hots", lambda h: h["key"] < F.col("_order")))
+    own = F.get(F.filter("_hots", lambda h: h["key"] == F.col("_order")), F.lit(0))["cuts"]
+    cut = F.size(F.filter(own, lambda c: c < at))
+    # A row of another key comes after ``below`` hot keys; a hot key's own rows come after those.
+    inner = F.concat(F.lpad((2 * below + F.when(own.isNull(), 0).otherwise(1)).cast("string"), 5, "0"), F.lpad(F.when(own.isNull(), 0).otherwise(cut).cast("string"), 5, "0"))
+    chunk = F.concat(digits, F.when(F.col("_hots").isNull(), F.lit("")).otherwise(inner))
+    return joined.select(*rows.columns, chunk.alias("_chunk"))
+
+
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * SHARDS, new_weight: float = 1.0) -> DataFrame:
     """(key, size, text_crc32, shard, slot, grown_shard) of every row; grown_shard has one more shard."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -63,5 +99,5 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Se
         shard_of(F.col(key), grown).alias("grown_shard"),
         F.md5(name).alias("_order"),
     )
-    rows = rows.select("*", F.substring("_order", 1, 3).alias("_chunk"))
+    rows = chunked(rows, hot_keys(name, docs))
     return placed(rows, "shard", "_chunk", ["_order", "size", "text_crc32"]).select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
