@@ -247,3 +247,35 @@ def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     rows = [(i, (base + r.standard_normal(16) * 0.02).tolist(), 1) for i in range(200)]
     out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert all((x.n_links, x.component_id) == (199, 0) for x in out)
+
+
+def test_planes_follow_the_label_and_recall_stays(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [1, 1000, 1 << 14, 1 << 18, 1 << 40]
+    out = spark.createDataFrame([(n,) for n in sizes], "n long").select(vectors.planes_for(F.col("n")).alias("p")).collect()
+    assert [x.p for x in out] == [12, 12, 16, 20, 30]
+    agree = 1 - np.arccos(vectors.SIMILARITY) / np.pi
+    assert all(1 - (1 - agree**p) ** vectors.tables(p) >= vectors.RECALL for p in range(12, 31))
+
+
+def test_labels_of_different_planes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "EVEN", 0.001)
+    r = np.random.default_rng(11)
+    rows = []
+    for i in range(900):
+        label = 0 if i % 9 else 1
+        v = r.standard_normal(16) if i % 3 else np.ones(16) * (1 if i % 2 else -1) + r.standard_normal(16) * 0.35
+        rows.append((i, v.tolist(), label))
+    out = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    labels = np.array([la for _, _, la in rows])
+    link = (unit @ unit.T >= vectors.SIMILARITY) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(link, False)
+    got = np.zeros(len(rows), int)
+    for x in out:
+        got[x.vec_id] = x.n_links
+    want = link.sum(axis=1)
+    assert (got <= want).all() and want.sum() > 500
+    assert got.sum() >= 0.99 * want.sum()
