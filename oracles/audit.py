@@ -262,6 +262,7 @@ ORACLES["refund_rows"] = query("SELECT trip_id FROM refunds", *REFUNDS)
 ORACLES["dispute_rows"] = query("SELECT trip_id FROM disputes", *RAW_DISPUTES)
 _LEFT = "trip_id, tpep_pickup_datetime, total_amount::DOUBLE AS total_amount"
 ORACLES["remove_rows"] = query(f"SELECT {_LEFT} FROM s1", *CLEAN_STEPS)
+ORACLES["remove_rows_tested"] = ORACLES["remove_rows"]
 ORACLES["refund_flag"] = query("SELECT trip_id, any_negative, is_refund_pair FROM f", *FLAGGED)
 
 # --- rules

@@ -15,6 +15,7 @@ from triplens.operators import discrepancy as D
 from triplens.operators import duplicates as U
 from triplens.operators import durations as C
 from triplens.operators import eda as E
+from triplens.operators import membership as M
 from triplens.operators import neighbours as N
 from triplens.operators import outliers as O
 from triplens.operators import polygons as G
@@ -239,6 +240,11 @@ def _remove_refunds(df: DataFrame) -> DataFrame:
     return K.step_refunds(df)[1].select(S.ID, S.PICKUP, S.TOTAL)
 
 
+def _remove_tested(df: DataFrame) -> DataFrame:
+    """Refunds go by the blocks of bits, as they do beyond a million ids."""
+    return M.remove_known(df, N.refund_rows(df), broadcast_ids=-1).select(S.ID, S.PICKUP, S.TOTAL)
+
+
 def _remove_disputes(df: DataFrame) -> DataFrame:
     return K.step_disputes(K.step_refunds(df)[1])[1].select(S.ID, S.PICKUP, S.TOTAL)
 
@@ -333,6 +339,7 @@ QUERIES: dict[str, Query] = {
     "refund_rows": _raw(N.refund_rows),
     "dispute_rows": _raw(N.dispute_rows),
     "remove_rows": _raw(_remove_refunds),
+    "remove_rows_tested": _raw(_remove_tested),
     "refund_flag": _flagged(lambda df: df.select(S.ID, R.NEGATIVE, R.REFUND)),
     # rules
     "rule_counts": _raw(

@@ -22,7 +22,8 @@ from triplens.functions.expressions import (
     seconds,
     share,
 )
-from triplens.operators.duplicates import flag_rows, remove_rows
+from triplens.operators.duplicates import flag_rows
+from triplens.operators.membership import remove_known
 from triplens.operators.neighbours import dispute_rows, refund_rows
 from triplens.operators.refunds import refund_ids
 from triplens.sources.shared import broadcast_if_small
@@ -95,13 +96,13 @@ def duration_flag() -> Column:
 def step_refunds(df: DataFrame, levels: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The set of refund ids (found on the raw rows) and the rows without them."""
     ids = broadcast_if_small(refund_rows(df, levels=levels))
-    return ids, remove_rows(df, ids)
+    return ids, remove_known(df, ids)
 
 
 def step_disputes(rest: DataFrame, levels: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """The set of adjacent disputes among the rows left by step 1, and the rows without them."""
     ids = broadcast_if_small(dispute_rows(rest, levels=levels))
-    return ids, remove_rows(rest, ids)
+    return ids, remove_known(rest, ids)
 
 
 REFUNDS, DISPUTES, PAIRS = "refunds", "disputes", "pairs"
@@ -157,7 +158,7 @@ def clean_trips(
         _, rest = step_refunds(df, levels)
         _, rest = step_disputes(rest, levels)
     else:
-        rest = remove_rows(remove_rows(df, of_kind(sets, REFUNDS)), of_kind(sets, DISPUTES))
+        rest = remove_known(remove_known(df, of_kind(sets, REFUNDS)), of_kind(sets, DISPUTES))
     for rule in row_rules(start, end):
         rest = rest.where(rule.keep())
     flagged = rest.withColumns({"duration_mins": minutes(), "duration_flag": duration_flag()})
