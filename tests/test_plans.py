@@ -14,6 +14,7 @@ from triplens.operators import rules
 from triplens.operators import zones as Z
 from triplens.operators.neighbours import LEVELS, ordered_neighbours
 from triplens.plans import cleaning as K
+from triplens.sources.derived import derive_trips
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -67,3 +68,19 @@ def test_wide_groups_are_made_of_rows_with_repeated_hashes_only(trips):
 
 def test_zone_sums_read_the_trips_once(trips):
     assert plan(Z.zone_agg(trips)).count("FileScan") == 1
+
+
+def test_known_sets_are_removed_in_one_join(spark, trips):
+    """Refunds and disputes that are known already are one set: the wide rows are tested once, and the result stays."""
+    ids = [r[0] for r in K.clean_trips(trips).select(S.ID).orderBy(S.ID).limit(6).collect()]
+    kinds = [K.REFUNDS, K.REFUNDS, K.DISPUTES, K.DISPUTES, K.PAIRS]
+    sets = spark.createDataFrame([*zip(ids, kinds), (None, K.REFUNDS), (ids[0], K.DISPUTES)], f"{S.ID} bigint, kind string")
+    clean = K.clean_trips(trips, sets=sets)
+    assert plan(clean).count("LeftAnti") == 1
+    assert [r[0] for r in clean.where(F.col(S.ID).isin(ids)).select(S.ID).orderBy(S.ID).collect()] == ids[4:]
+
+
+def test_derived_money_is_made_by_one_function(spark, folder):
+    """Ten decimal products in one projection took most of the time of deriving the trips."""
+    text = derive_trips(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\* 0\.01\b", text)) <= 1

@@ -121,9 +121,9 @@ def removal_sets(df: DataFrame, levels: Sequence[int] | None = None) -> DataFram
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def of_kind(sets: DataFrame, kind: str) -> DataFrame:
-    """One id set of stored removal sets, sent to all executors if it is small."""
-    return broadcast_if_small(sets.where(F.col("kind") == kind).select(S.ID))
+def of_kind(sets: DataFrame, *kinds: str) -> DataFrame:
+    """The ids of one or more kinds of stored removal sets, sent to all executors if they are few."""
+    return broadcast_if_small(sets.where(F.col("kind").isin(*kinds)).select(S.ID))
 
 
 def negative_extra() -> Column:
@@ -158,7 +158,8 @@ def clean_trips(
         _, rest = step_refunds(df, levels)
         _, rest = step_disputes(rest, levels)
     else:
-        rest = remove_known(remove_known(df, of_kind(sets, REFUNDS)), of_kind(sets, DISPUTES))
+        # Both sets are known, so the wide rows are tested once.
+        rest = remove_known(df, of_kind(sets, REFUNDS, DISPUTES))
     for rule in row_rules(start, end):
         rest = rest.where(rule.keep())
     flagged = rest.withColumns({"duration_mins": minutes(), "duration_flag": duration_flag()})
