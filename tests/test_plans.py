@@ -81,6 +81,6 @@ def test_known_sets_are_removed_in_one_join(spark, trips):
 
 
 def test_derived_money_is_made_by_one_function(spark, folder):
-    """Ten decimal products in one projection took most of the time of deriving the trips."""
+    """Ten decimal products in one projection took more CPU time than one function of all amounts."""
     text = derive_trips(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\* 0\.01\b", text)) <= 1
